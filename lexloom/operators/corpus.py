@@ -33,7 +33,7 @@ def english_records(lines: DataFrame, column: str = "line") -> DataFrame:
     Tombstones, unparsable lines and records that lack one of the eight fields are dropped.
     """
     r = J.parse_records(lines, column).filter(F.col("rec").isNotNull() & ~J.is_tombstone("rec") & (J.field("rec", "lang") == "en"))
-    r = r.withColumn("msg", F.when(J.has("rec", "retweeted_status"), F.expr("variant_get(rec, '$.retweeted_status')")).otherwise(F.col("rec")))
+    r = J.once(r.select("rec"), F.when(J.has("rec", "retweeted_status"), F.expr("variant_get(rec, '$.retweeted_status')")).otherwise(F.col("rec")), "msg")
     out = r.filter(J.field("msg", "lang") == "en").select(
         J.scalar_text("msg", "id_str").alias("tweet_id"),
         J.field("msg", "user.screen_name").alias("screen_name"),

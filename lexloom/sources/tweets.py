@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once per row: a generator keeps later filters and projections from inlining it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_records(lines: DataFrame, column: str = "line", out: str = "rec") -> DataFrame:
     """Adds ``out``, the VARIANT of a line that is one JSON object, else NULL.
 
@@ -13,10 +18,10 @@ def parse_records(lines: DataFrame, column: str = "line", out: str = "rec") -> D
     parser alone would ignore) makes it invalid. NULL, empty and non-object
     lines give NULL.
     """
-    df = lines.withColumn("__w", F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(",0]"))))
+    df = once(lines, F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(",0]"))), "__w")
     one = F.try_variant_get("__w", "$[1]", "int").eqNullSafe(F.lit(0)) & F.expr("variant_get(__w, '$[2]') is null")
     rec = F.expr("variant_get(__w, '$[0]')")
-    return df.withColumn(out, F.when(one & F.startswith(F.schema_of_variant(rec), F.lit("OBJECT")), rec)).drop("__w")
+    return once(df, F.when(one & F.startswith(F.schema_of_variant(rec), F.lit("OBJECT")), rec), out).drop("__w")
 
 
 def field(rec: str, path: str, kind: str = "string") -> Column:
