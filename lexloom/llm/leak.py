@@ -106,7 +106,7 @@ def candidates(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """
     from lexloom.functions.text import let
 
-    grams = lambda t: let(words(t), seeds)
+    grams = lambda t: let(words(t), lambda w: seeds(w))
     a = docs.select(key, F.explode(grams(F.col(text))).alias("h"))
     b = items.select("item_id", F.explode(grams(F.col("text"))).alias("h"))
     return a.join(b, "h").select(key, "item_id").distinct()
