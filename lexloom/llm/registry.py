@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm import leak, lookalike, mixing
+from lexloom.llm import leak, lookalike, mixing, pii
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,20 @@ def documents(spark, d: str, *cols: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *(cols or ("text",)))
 
 
+def _names(spark, d):
+    return pii.learn_names(documents(spark, d), table(spark, d, "name_list"))
+
+
+@q
+def p4_found(spark, d):
+    return pii.pieces(documents(spark, d, "text", "screen_name"), _names(spark, d))
+
+
+@q
+def p4_redacted(spark, d):
+    return pii.redact(documents(spark, d, "text", "screen_name"), _names(spark, d), b"change this key before use")
+
+
 @q
 def p5_found(spark, d):
     return lookalike.pairs(documents(spark, d))
