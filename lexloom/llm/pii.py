@@ -51,7 +51,7 @@ def plain(text: str) -> tuple[str, list[int] | None]:
 # ---- patterns -----------------------------------------------------------------------------
 _HOST = r"[A-Za-z0-9](?:[\w-]*\w)?"
 EMAIL = re.compile(
-    rf"(?<![\w.+@-])\w[\w.+-]*(?:@{_HOST}(?:\.{_HOST})+|\s?(?:\(at\)|\[at\]|\{{at\}})\s?{_HOST}(?:(?:\s?(?:\(dot\)|\[dot\]|\{{dot\}})\s?|\.){_HOST})+|\sat\s{_HOST}(?:\sdot\s{_HOST})+)",
+    rf"(?<![\w.+@-])\w[\w.+-]*(?:(?:@| @ ){_HOST}(?:\.{_HOST})+|\s?(?:\(at\)|\[at\]|\{{at\}})\s?{_HOST}(?:(?:\s?(?:\(dot\)|\[dot\]|\{{dot\}})\s?|\.){_HOST})+|\sat\s{_HOST}(?:\sdot\s{_HOST})+)",
     re.I,
 )
 _D = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -88,7 +88,8 @@ STREET = re.compile(
 )
 _W = r"[^\W\d_](?:[^\W\d_]|['-](?=[^\W\d_]))*"
 WORD = re.compile(_W)
-_PAIR = re.compile(rf"(?=(?<![\w@#'.+-])({_W}|[^\W\d_]\.)( |\n|, )(?:([^\W\d_]\.) )?({_W})(?![\w@]))")
+_PAIR = re.compile(rf"(?=(?<![\w@#'.+-])({_W}|[^\W\d_]\.)( |\n|, )(?:([^\W\d_]\.) )?({_W})(?![\w@+]|[._-]\w))")
+_GIVEN_NEXT = re.compile(rf", ({_W})")
 _LOCAL = re.compile(r"(?<![\w.])([a-z]{2,})[._]([a-z']{2,})\d*\s?(?:@|\(at\)|\[at\]| at )", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z']+")
 
@@ -103,6 +104,7 @@ class Names:
     family: frozenset[str]
     common: frozenset[str]  #: given names mostly used as other words
     streets: frozenset[str]
+    near: frozenset[str] = frozenset()  #: words that are given names directly before a known family name
 
 
 def _street_ok(m: re.Match, streets: frozenset[str]) -> bool:
@@ -110,8 +112,26 @@ def _street_ok(m: re.Match, streets: frozenset[str]) -> bool:
     return name[0].isupper() or _key(name) in streets or m["de"] is not None
 
 
+def _count_pair(c: Counter, a: str, b: str, caps: bool, given: frozenset[str], family: frozenset[str], common: frozenset[str]) -> None:
+    if a.endswith("."):
+        c["f", b, a] += 1
+        return
+    if a in given and a not in common:
+        c["f", b, a] += 1
+        if caps:
+            c["F", b, a] += 1
+    if b in family:
+        c["g", a, b] += 1
+        if caps:
+            c["G", a, b] += 1
+
+
 def count_evidence(texts: Iterator[str | None], given: frozenset[str], family: frozenset[str], common: frozenset[str]) -> Counter:
-    """Counts keyed by (role, word, partner): role t total, f stands as family name, g as given name, s as street name."""
+    """Counts keyed by (role, word, partner).
+
+    Roles: t total; f, g beside a known given, family name; F, G the same with both capitalised;
+    c as family name in the form ``Family, Given``; s as street name.
+    """
     c: Counter = Counter()
     for text in texts:
         if not text:
@@ -120,36 +140,40 @@ def count_evidence(texts: Iterator[str | None], given: frozenset[str], family: f
         low = s.lower()
         for w in WORD.findall(low):
             c["t", w, ""] += 1
-        pairs = [(m[1], m[2], m[4]) for m in _PAIR.finditer(low)] + [(m[1], " ", m[2]) for m in _LOCAL.finditer(low)]
-        for a, sep, b in pairs:
-            g, f = (b, a) if sep == ", " else (a, b)
-            if g.endswith("."):
-                if sep != ", ":
-                    c["f", f, g] += 1
-                continue
-            if g in given and g not in common:
-                c["f", f, g] += 1
-            if f in family:
-                c["g", g, f] += 1
+        for m in _LOCAL.finditer(low):
+            _count_pair(c, m[1], m[2], False, given, family, common)
+        for m in _PAIR.finditer(low):
+            if m[2] == ", ":
+                if m[4] in given and m[4] not in common:
+                    c["c", m[1], m[4]] += 1
+                if m[1] in family:
+                    c["g", m[4], m[1]] += 1
+            elif not ((n := _GIVEN_NEXT.match(low, m.end(4))) and n[1] in given and m[4] in family):
+                caps = s[m.start(1)].isupper() and s[m.start(4)].isupper() and not s[m.start(1) : m.end(4)].isupper()
+                _count_pair(c, m[1], m[4], caps, given, family if not m[3] else frozenset(), common)
         for m in STREET.finditer(s):
             if name := m["en"]:
                 c["s", _key(name), ""] += 1
     return c
 
 
-def learn_names(docs: DataFrame, names: DataFrame, text: str = "text", rounds: int = 2, share: float = 0.5, partners: int = 2) -> Names:
+def learn_names(docs: DataFrame, names: DataFrame, text: str = "text", rounds: int = 2, share: float = 0.5, weak: float = 0.04, partners: int = 2) -> Names:
     """The name list extended from all documents.
 
     A word becomes a family (given) name if at least ``share`` of its occurrences stand beside
-    a known given (family) name, with ``partners`` different ones. Initials alone are no evidence.
+    a known given (family) name, with ``partners`` different ones; or all occurrences do and any is capitalised. Initials alone
+    are no evidence. A word with a share of ``weak`` or more counts as a given name directly before
+    a known family name only.
     """
     rows = names.select(F.lower("name"), "kind").filter("name is not null").limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
         raise ValueError(f"more than {MAX_WORDS} names")
     given, family = (frozenset(r[0] for r in rows if r[1] == k) for k in ("given", "family"))
+    base = given
     common: frozenset[str] = frozenset()
     streets: frozenset[str] = frozenset()
-    for k in range(rounds + 1):
+    near: frozenset[str] = frozenset()
+    for _ in range(rounds + 1):
 
         def count(batches: Iterator[pd.DataFrame], g=given, f=family, cm=common) -> Iterator[pd.DataFrame]:
             total: Counter = Counter()
@@ -164,20 +188,27 @@ def learn_names(docs: DataFrame, names: DataFrame, text: str = "text", rounds: i
         initial = F.col("partner").endswith(".")
         w = e.groupBy("word").agg(
             F.sum(F.when(F.col("role") == "t", F.col("n"))).alias("total"),
-            *[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(r) for r in "fgs"],
+            *[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, r in enumerate("fgFGcs")],
             *[F.count_if((F.col("role") == r) & ~initial).alias(f"p{r}") for r in "fg"],
         )
-        known = F.col("word").isin(*given) if given else F.lit(False)
-        keep = ((F.col("pf") >= partners) & (F.col("f") >= share * F.col("total"))) | ((F.col("pg") >= partners) & (F.col("g") >= share * F.col("total"))) | ((F.col("s") >= 2) & (F.col("s") >= share * F.col("total"))) | known
-        found = w.filter(keep).limit(MAX_WORDS + 1).collect()
+        w = w.select("word", "total", F.col("n0").alias("f"), F.col("n1").alias("g"), F.col("n2").alias("f_caps"), F.col("n3").alias("g_caps"), F.col("n4").alias("comma"), F.col("n5").alias("s"), "pf", "pg")
+        w = w.filter((F.length("word") > 1) & (F.col("total") > 0))
+        all_f, all_g = F.col("f") + F.col("comma"), F.col("g")
+        is_f = ((F.col("pf") >= partners) & (all_f >= share * F.col("total"))) | ((F.col("f_caps") > 0) & (F.col("pf") > 0) & (all_f >= F.col("total")) & (F.col("total") <= 3 * F.col("pf")))
+        is_g = ((F.col("pg") >= partners) & (all_g >= share * F.col("total"))) | ((F.col("g_caps") > 0) & (all_g >= F.col("total")) & (F.col("total") <= 3 * F.col("pg")))
+        is_weak = (F.col("pg") >= partners) & (all_g >= weak * F.col("total"))
+        is_s = (F.col("s") >= 2) & (F.col("s") >= share * F.col("total"))
+        known = F.col("word").isin(*base) if base else F.lit(False)
+        w = w.select("word", "total", "g", is_f.alias("is_f"), is_g.alias("is_g"), is_weak.alias("is_weak"), is_s.alias("is_s"))
+        found = w.filter(F.col("is_f") | F.col("is_g") | F.col("is_weak") | F.col("is_s") | known).limit(MAX_WORDS + 1).collect()
         if len(found) > MAX_WORDS:
             raise ValueError(f"more than {MAX_WORDS} name words: raise share or partners")
-        base = frozenset(r[0] for r in rows if r[1] == "given")
         common = frozenset(r.word for r in found if r.word in base and r.total >= 5 and r.g < 0.15 * r.total)
-        family |= {r.word for r in found if r.pf >= partners and r.f >= share * r.total and len(r.word) > 1}
-        given |= {r.word for r in found if r.pg >= partners and r.g >= share * r.total and len(r.word) > 1}
-        streets = frozenset(r.word for r in found if r.s >= 2 and r.s >= share * r.total)
-    return Names(given, family - given, common, streets)
+        family |= {r.word for r in found if r.is_f and r.word not in base}
+        given |= {r.word for r in found if r.is_g and r.word not in family}
+        near = frozenset(r.word for r in found if r.is_weak and r.word not in given and r.word not in family)
+        streets = frozenset(r.word for r in found if r.is_s)
+    return Names(given, family, common, streets, near)
 
 
 def find(text: str | None, names: Names, field: str = "text") -> list[tuple[str, int, int]]:
@@ -221,7 +252,9 @@ def find(text: str | None, names: Names, field: str = "text") -> list[tuple[str,
                 if t := re.match(r" [^\W\d_]\.(?= )", low[end:]):
                     end += t.end()
                 add("name", m.start(1), end)
-        elif b in names.family and (a in names.given or (a.endswith(".") and not mid)):
+        elif b in names.family and (a in names.given or (a in names.near and not mid) or (a.endswith(".") and not mid)):
+            if (n := _GIVEN_NEXT.match(low, end)) and n[1] in names.given and a not in names.given:
+                continue
             add("name", m.start(1), end)
     out.sort(key=lambda x: x[1])
     if idx is not None:
