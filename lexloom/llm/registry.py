@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm import leak, lookalike, mixing, pii
+from lexloom.llm import leak, lookalike, mixing, pii, toxic
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,30 @@ def p5_canonical(spark, d):
     return lookalike.canonical(documents(spark, d)).select("doc_id", "class_id", "changed", F.md5("canonical_text").alias("canonical_md5"))
 
 
+def _toxic(spark, d):
+    docs = documents(spark, d, "text", "source")
+    model = toxic.train(docs, table(spark, d, "review_label"))
+    scored = toxic.scan(docs.withColumn("source", F.lower(F.trim("source"))), model, carry=("source",))
+    return model, toxic.significance(scored, toxic.calibrate(scored))
+
+
+@q
+def p7_found(spark, d):
+    model, scored = _toxic(spark, d)
+    return toxic.flagged(scored, model).select("doc_id", "category").distinct()
+
+
+@q
+def p7_scores(spark, d):
+    return _toxic(spark, d)[1].select("doc_id", "category", "score", "net", "p_value", "n_segments", "passage")
+
+
+@q
+def p7_rates(spark, d):
+    model, scored = _toxic(spark, d)
+    return toxic.rates(scored, model)
+
+
 @q
 def p8_found(spark, d):
     return leak.find(documents(spark, d), table(spark, d, "benchmark_item"))
