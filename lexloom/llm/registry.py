@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm import leak, lookalike, mixing, pii, toxic
+from lexloom.llm import langid, leak, lookalike, mixing, pii, toxic
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,23 @@ def p5_canonical(spark, d):
     return lookalike.canonical(documents(spark, d)).select("doc_id", "class_id", "changed", F.md5("canonical_text").alias("canonical_md5"))
 
 
+def _languages(spark, d):
+    docs = documents(spark, d, "text", "lang")
+    return langid.detect(docs.withColumnRenamed("lang", "label"), langid.train(table(spark, d, "lang_sample"), docs), carry=("label",))
+
+
+@q
+def p6_found(spark, d):
+    r = langid.relabelled(_languages(spark, d), "label")
+    return r.select("doc_id", F.inline("segments")).select("doc_id", "seg_no", "lang")
+
+
+@q
+def p6_documents(spark, d):
+    r = _languages(spark, d)
+    return r.select("doc_id", "label", "lang", "confidence", F.to_json("proportions").alias("proportions"), F.size("segments").alias("n_segments"))
+
+
 def _toxic(spark, d):
     docs = documents(spark, d, "text", "source")
     model = toxic.train(docs, table(spark, d, "review_label"))
