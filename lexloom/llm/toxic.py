@@ -385,8 +385,8 @@ def calibrate(scored: DataFrame, levels: int = 12) -> Law:
         mx, my = (sum(p[j] for p in pts) / len(pts) for j in (0, 1))
         var = sum((x - mx) ** 2 for x, _ in pts)
         slope = sum((x - mx) * (z - my) for x, z in pts) / var if var else -1.0
-        law.rate[c] = max(1e-3, -slope)
-        law.k[c] = math.exp(my + law.rate[c] * mx) / max(1.0, t or 1.0)
+        law.rate[c] = min(50.0, max(1e-3, -slope))
+        law.k[c] = math.exp(min(500.0, my + law.rate[c] * mx)) / max(1.0, t or 1.0)
     return law
 
 
