@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm import langid, leak, lookalike, mixing, pii, toxic
+from lexloom.llm import langid, leak, lookalike, mixing, pii, subjects, toxic
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -114,6 +114,27 @@ def p9_shares(spark, d):
     return _mix(spark, d)[1]
 
 
+def _subjects(spark, d):
+    return subjects.assign(documents(spark, d), table(spark, d, "subject_label"), table(spark, d, "subject_area"), table(spark, d, "lang_sample"))
+
+
+@q
+def p10_found(spark, d):
+    return _subjects(spark, d)[0].select("doc_id", "subject")
+
+
+@q
+def p10_composition(spark, d):
+    return subjects.composition(_subjects(spark, d)[0], documents(spark, d))
+
+
+@q
+def p10_topics(spark, d):
+    _, topics = _subjects(spark, d)
+    rows = [(t.lang, i, s, " ".join(w)) for t in topics for i, (s, w) in enumerate(zip(t.subject, t.terms))]
+    return spark.createDataFrame(rows, "lang string, topic int, subject string, top_terms string")
+
+
 def queries() -> dict:
     return dict(Q)
 
