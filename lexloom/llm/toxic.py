@@ -299,7 +299,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     any_ = sum((F.col(c) for c in CATEGORIES[1:]), F.col(CATEGORIES[0])) > 0
     ids = v.orderBy(F.when(any_, 0).otherwise(1), F.xxhash64(key), key).limit(most)
     rows = docs.select(key, F.col(text).alias("__t")).filter(F.col("__t").isNotNull()).join(ids, key).select("__t", *CATEGORIES).collect()
-    return sorted((r[0], {c: float(r[c]) for c in CATEGORIES if r[c]}) for r in rows) if rows else []
+    return sorted(((r[0], {c: float(r[c]) for c in CATEGORIES if r[c]}) for r in rows), key=lambda x: (x[0], sorted(x[1].items())))
 
 
 def corpus_shares(docs: DataFrame, wanted: set[str], text: str = "text") -> dict[str, float]:
