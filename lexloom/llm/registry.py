@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import langid, leak, lookalike, mixing, pii, subjects, toxic
+from lexloom.session import cut
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -68,7 +69,7 @@ def p6_documents(spark, d):
 def _toxic(spark, d):
     docs = documents(spark, d, "text", "source")
     model = toxic.train(docs, table(spark, d, "review_label"))
-    scored = toxic.scan(docs.withColumn("source", F.lower(F.trim("source"))), model, carry=("source",))
+    scored = cut(toxic.scan(docs.withColumn("source", F.lower(F.trim("source"))), model, carry=("source",)))
     return model, toxic.significance(scored, toxic.calibrate(scored))
 
 
