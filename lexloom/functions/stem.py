@@ -13,8 +13,8 @@ _V = "[aeiouy]"
 
 
 def _measure(stem: str) -> int:
-    shape = re.sub(r"[^aeiou]+", "C", re.sub(r"[aeiou]+|(?<=[^aeiou])y", "V", stem))
-    return len(re.findall("V+C", re.sub("CC+", "C", shape)))
+    shape = "".join("V" if c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") else "C" for i, c in enumerate(stem))
+    return len(re.findall("V+C", shape))
 
 
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
