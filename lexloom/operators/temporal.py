@@ -45,17 +45,17 @@ def evaluate(train: DataFrame, test: DataFrame, ps: DataFrame, tokens: str = "un
     return _accuracy(ps, B.score(_test(test), window_models(train, ps, tokens), tokens, key, ("label",), v=v))
 
 
-def self_train(train: DataFrame, pool: DataFrame, test: DataFrame, ps: DataFrame, tokens: str = "uni", key: str = "id", v: int = B.UNI) -> DataFrame:
-    """Label the window's pool, retrain, test (TMP-05)."""
+def self_train(train: DataFrame, pool: DataFrame, test: DataFrame, ps: DataFrame, tokens: str = "uni", key: str = "id", v: int = B.UNI, pool_ps: DataFrame | None = None) -> DataFrame:
+    """Label the window's pool, retrain, test (TMP-05). ``pool_ps`` gives the pool other windows than the training set."""
     m = window_models(train, ps, tokens)
-    lab = label_all(m, in_window(pool, ps), tokens, key, v, (tokens,))
+    lab = label_all(m, in_window(pool, ps if pool_ps is None else pool_ps), tokens, key, v, (tokens,))
     return _accuracy(ps, B.score(_test(test), B.add(m, B.train(lab, tokens, by=("period",))), tokens, key, ("label",), v=v))
 
 
-def co_train(train: DataFrame, pool: DataFrame, test: DataFrame, ps: DataFrame, key: str = "id", v0: int = B.UNI, v1: int = B.BI) -> DataFrame:
+def co_train(train: DataFrame, pool: DataFrame, test: DataFrame, ps: DataFrame, key: str = "id", v0: int = B.UNI, v1: int = B.BI, pool_ps: DataFrame | None = None) -> DataFrame:
     """One unthresholded exchange between the views per window (TMP-06): the accuracy of both."""
     models = (window_models(train, ps, "uni"), window_models(train, ps, "bi"))
-    m0, m1, _ = C.exchange(train, in_window(pool, ps), ("period",), key, models, v0, v1)
+    m0, m1, _ = C.exchange(train, in_window(pool, ps if pool_ps is None else pool_ps), ("period",), key, models, v0, v1)
     a0 = _accuracy(ps, B.score(_test(test), m0, "uni", key, ("label",), v=v0)).withColumnRenamed("accuracy", "uni_accuracy")
     a1 = _accuracy(ps, B.score(_test(test), m1, "bi", key, ("label",), v=v1)).select("period", F.col("accuracy").alias("bi_accuracy"))
     return a0.join(a1, "period")

@@ -241,12 +241,18 @@ _SYN = "CASE w " + " ".join(f"WHEN {s(w)} THEN {arr(ns)}" for w, ns in sorted(K.
 WINDOWS = {"single": ("0", "period = month"), "cumulative": ("0", "month <= period"), "sliding": ("2", "month BETWEEN period - 2 AND period")}
 
 
-def temporal(kind: str, test: str, lu: bool) -> str:
+def periods(kind: str, protocol: str) -> str:
+    kind, _, pool_kind = kind.partition("/")
     start, hit = WINDOWS[kind]
-    c = CORPUS + f""",
-ps AS (SELECT CAST(unnest(generate_series({start}, 10)) AS INTEGER) AS period),
-wtrain AS (SELECT t.*, period FROM train t, ps WHERE {hit}), wpool AS (SELECT t.*, period FROM pool t, ps WHERE {hit}),
-wtest AS (SELECT *, month - 1 AS period FROM {test})"""
+    stream = "train UNION ALL BY NAME SELECT * FROM test" if protocol == "union" else "train"
+    return CORPUS + f""",
+ps AS (SELECT CAST(unnest(generate_series({start}, 10)) AS INTEGER) AS period), stream AS (SELECT * FROM {stream}),
+wtrain AS (SELECT t.*, period FROM stream t, ps WHERE {hit}), wpool AS (SELECT t.*, period FROM pool t, ps WHERE {WINDOWS[pool_kind or kind][1]}),
+wtest AS (SELECT *, month - 1 AS period FROM {'test' if protocol == 'holdout' else 'stream'})"""
+
+
+def temporal(kind: str, protocol: str, lu: bool) -> str:
+    c = periods(kind, protocol)
     c += train("m", "wtrain", "uni", "period")
     m = "m"
     if lu:
@@ -256,12 +262,8 @@ wtest AS (SELECT *, month - 1 AS period FROM {test})"""
     return out(c, "SELECT period, count(label) AS n_test, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM ps LEFT JOIN e USING (period) GROUP BY ALL")
 
 
-def temporal_co(kind: str, test: str) -> str:
-    start, hit = WINDOWS[kind]
-    c = CORPUS + f""",
-ps AS (SELECT CAST(unnest(generate_series({start}, 10)) AS INTEGER) AS period),
-wtrain AS (SELECT t.*, period FROM train t, ps WHERE {hit}), wpool AS (SELECT t.*, period FROM pool t, ps WHERE {hit}),
-wtest AS (SELECT *, month - 1 AS period FROM {test})"""
+def temporal_co(kind: str, protocol: str) -> str:
+    c = periods(kind, protocol)
     for view, other, v in (("uni", "bi", V0), ("bi", "uni", V1)):
         c += train(f"m_{view}", "wtrain", view, "period") + score(f"s_{view}", f"m_{view}", "wpool", view, v, "period") + relabel(f"l_{view}", f"s_{view}", "wpool", "period")
     for view, other, v in (("uni", "bi", V0), ("bi", "uni", V1)):
@@ -440,10 +442,9 @@ k2 AS (SELECT id, copy, i, w, {_SYN} AS ns, CAST('0x' || substr(md5(concat_ws('|
         "au_prc": out(PREDICT + f", k AS ({COUNTS})", "SELECT round(CASE WHEN pp = 0 THEN p / n ELSE (tp / p) * (tp / pp) + (1 - tp / p) * (tp / pp + p / n) / 2 END, 6) AS au_prc FROM k"),
         "co_validate": _co_validate(),
     }
-    for name, kind, test in (("temporal_single", "single", "test"), ("temporal_cumulative", "cumulative", "test"), ("temporal_sliding", "sliding", "test"), ("temporal_holdout", "cumulative", "test"), ("temporal_prequential", "cumulative", "train"), ("temporal_prequential_single", "single", "train"), ("temporal_prequential_sliding", "sliding", "train")):
-        e[name] = temporal(kind, test, False)
-    for name, kind, test in (("temporal_self_train", "cumulative", "test"), ("temporal_self_train_sliding", "sliding", "test"), ("temporal_self_train_prequential", "single", "train")):
-        e[name] = temporal(kind, test, True)
-    for name, kind, test in (("temporal_co_train", "sliding", "test"), ("temporal_co_train_cumulative", "cumulative", "test"), ("temporal_co_train_prequential", "single", "train")):
-        e[name] = temporal_co(kind, test)
+    from lexloom.plans.queries import TEMPORAL, TEMPORAL_CO, TEMPORAL_LU
+
+    e |= {n: temporal(k, p, False) for n, (k, p) in TEMPORAL.items()}
+    e |= {n: temporal(k, p, True) for n, (k, p) in TEMPORAL_LU.items()}
+    e |= {n: temporal_co(k, p) for n, (k, p) in TEMPORAL_CO.items()}
     return e

@@ -408,49 +408,45 @@ def balanced_self_train(spark, d):
 
 
 # ---- time ---------------------------------------------------------------------------------
-
-
-def _acc(df):
-    return df.select("period", "n_test", r6("accuracy"))
-
-
-def _temporal(name, kind, prequential=False):
-    def f(spark, d):
-        train, _, test = P.roles(spark, d)
-        return _acc(T.evaluate(train, train if prequential else test, T.periods(spark, kind)))
-
-    f.__name__ = name
-    q(f)
-
-
-for _n, _k, _p in (("temporal_single", "single", False), ("temporal_cumulative", "cumulative", False), ("temporal_sliding", "sliding", False), ("temporal_holdout", "cumulative", False), ("temporal_prequential", "cumulative", True), ("temporal_prequential_single", "single", True), ("temporal_prequential_sliding", "sliding", True)):
-    _temporal(_n, _k, _p)
-
-
-def _temporal_lu(name, kind, prequential=False):
+# Test relation: hold-out (the gold set), prequential (the training stream), or both streams together.
+TEMPORAL = {
+    "temporal_single": ("single", "holdout"), "temporal_cumulative": ("cumulative", "holdout"), "temporal_sliding": ("sliding", "holdout"), "temporal_holdout": ("cumulative", "holdout"),
+    "temporal_prequential": ("cumulative", "prequential"), "temporal_prequential_single": ("single", "prequential"), "temporal_prequential_sliding": ("sliding", "prequential"), "temporal_prequential_union": ("cumulative", "union"),
+}
+TEMPORAL_LU = {
+    "temporal_self_train": ("cumulative", "holdout"), "temporal_self_train_single": ("single", "holdout"), "temporal_self_train_sliding": ("sliding", "holdout"),
+    "temporal_self_train_prequential": ("single", "prequential"), "temporal_self_train_prequential_cumulative": ("cumulative", "prequential"), "temporal_self_train_prequential_sliding": ("sliding", "prequential"),
+}
+TEMPORAL_CO = {
+    "temporal_co_train": ("sliding", "holdout"), "temporal_co_train_single": ("single", "holdout"), "temporal_co_train_cumulative": ("cumulative", "holdout"),
+    "temporal_co_train_prequential": ("single", "prequential"), "temporal_co_train_prequential_cumulative": ("cumulative", "union"), "temporal_co_train_prequential_sliding": ("sliding", "prequential"),
+    "temporal_co_train_sliding_single_pool": ("sliding/single", "prequential"),
+}
+
+
+def _temporal(name, kind, protocol, make):
     def f(spark, d):
         train, pool, test = P.roles(spark, d)
-        return _acc(T.self_train(train, pool, train if prequential else test, T.periods(spark, kind)))
+        if protocol == "union":
+            train = train.unionByName(test)
+        kind_, _, pool_kind = kind.partition("/")
+        ps = T.periods(spark, kind_)
+        return make(train, pool, test if protocol == "holdout" else train, ps, T.periods(spark, pool_kind) if pool_kind else None)
 
     f.__name__ = name
     q(f)
 
 
-for _n, _k, _p in (("temporal_self_train", "cumulative", False), ("temporal_self_train_sliding", "sliding", False), ("temporal_self_train_prequential", "single", True)):
-    _temporal_lu(_n, _k, _p)
-
-
-def _temporal_co(name, kind, prequential=False):
-    def f(spark, d):
-        train, pool, test = P.roles(spark, d)
-        return T.co_train(train, pool, train if prequential else test, T.periods(spark, kind)).select("period", "n_test", r6("uni_accuracy"), r6("bi_accuracy"))
-
-    f.__name__ = name
-    q(f)
+def _acc(df):
+    return df.select("period", "n_test", r6("accuracy"))
 
 
-for _n, _k, _p in (("temporal_co_train", "sliding", False), ("temporal_co_train_cumulative", "cumulative", False), ("temporal_co_train_prequential", "single", True)):
-    _temporal_co(_n, _k, _p)
+for _n, (_k, _p) in TEMPORAL.items():
+    _temporal(_n, _k, _p, lambda tr, po, te, ps, pp: _acc(T.evaluate(tr, te, ps)))
+for _n, (_k, _p) in TEMPORAL_LU.items():
+    _temporal(_n, _k, _p, lambda tr, po, te, ps, pp: _acc(T.self_train(tr, po, te, ps, pool_ps=pp)))
+for _n, (_k, _p) in TEMPORAL_CO.items():
+    _temporal(_n, _k, _p, lambda tr, po, te, ps, pp: T.co_train(tr, po, te, ps, pool_ps=pp).select("period", "n_test", r6("uni_accuracy"), r6("bi_accuracy")))
 
 
 # ---- evaluation ---------------------------------------------------------------------------
