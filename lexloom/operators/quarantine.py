@@ -91,9 +91,8 @@ def errors(rows: DataFrame, rules: DataFrame, width: int = 8) -> DataFrame:
 
 def failing(lines: DataFrame, rules: DataFrame, key: str = "line_no", line: str = "line", width: int = 8) -> DataFrame:
     """(key, reason) of every failing line, the first reason that applies."""
-    rows = parsed(lines, key, line)
-    n = rows.select("__k", "__h")  # equal rows (same key and content) come out as often as they came in
-    e = errors(rows, rules, width).select(F.col("__k").alias("k2"), F.col("__h").alias("h2"), "reason")
+    n = lines.select(F.col(key).alias("__k"), F.xxhash64(line).alias("__h"))  # equal rows come out as often as they came in
+    e = errors(parsed(lines, key, line), rules, width).select(F.col("__k").alias("k2"), F.col("__h").alias("h2"), "reason")
     return n.join(e, n["__k"].eqNullSafe(e["k2"]) & n["__h"].eqNullSafe(e["h2"])).select(F.col("__k").alias(key), "reason")
 
 
