@@ -90,8 +90,8 @@ class MessageStore:
             affected = sorted(r[0] for r in hit.collect())  # at most one row per partition
             hist = self._read("data", [d for p in affected for d in parts[p]])
             cand = winners(hist.unionByName(cand), self.payload)
-        # one task per partition and hash slice: a month of any size is written by several tasks
-        cand.withColumn("part", part_of()).write.partitionBy("part").parquet(f"{self.path}/data/{new}")
+        # gathered by partition for few files; the hint lets the planner split a large month over several tasks
+        cand.withColumn("part", part_of()).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/data/{new}")
         written = [s.getPath().getName() for s in self._fs.listStatus(self._p(f"{self.path}/data/{new}")) if s.isDirectory()]
         got = {w.split("=", 1)[1]: f"{new}/{w}" for w in written if w.startswith("part=")}
         if got:
