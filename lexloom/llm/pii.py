@@ -233,7 +233,7 @@ def find(text: str | None, names: Names, field: str = "text") -> list[tuple[str,
             add("email", *m.span())
     if digits:
         for m in ID.finditer(s):
-            if sum(c.isdigit() for c in m[0]) >= 7:
+            if sum(c.isdigit() for c in m[0]) >= 6:
                 add("id_number", *m.span())
     if digits or " oh " in low or "zero" in low or "five" in low or "seven" in low:
         for m in PHONE.finditer(s):
@@ -265,7 +265,7 @@ def find(text: str | None, names: Names, field: str = "text") -> list[tuple[str,
 def _handle_kind(s: str, names: Names) -> str | None:
     if EMAIL.fullmatch(s):
         return "email"
-    if ID.fullmatch(s) and sum(c.isdigit() for c in s) >= 7:
+    if ID.fullmatch(s) and sum(c.isdigit() for c in s) >= 6:
         return "id_number"
     if PHONE.fullmatch(s):
         return "phone"
