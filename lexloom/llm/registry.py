@@ -70,7 +70,7 @@ def _toxic(spark, d):
     docs = documents(spark, d, "text", "source")
     model = toxic.train(docs, table(spark, d, "review_label"))
     scored = cut(toxic.scan(docs.withColumn("source", F.lower(F.trim("source"))), model, carry=("source",)))
-    return model, toxic.significance(scored, toxic.calibrate(scored))
+    return model, toxic.significance(scored, toxic.calibrate(scored, model))
 
 
 @q

@@ -12,9 +12,9 @@ of the same words lose.
 
 Scan, over all documents and whole texts: one linear pass gives all maximal
 scoring segments (Ruzzo and Tompa, 1999). Scores are calibrated by an extreme
-value law (Karlin and Altschul, 1990): the decay rate comes from the histogram of
-token scores of all documents and the factor from the number of documents whose
-best segment reaches a level. A document is reported if its best segment is
+value law (Karlin and Altschul, 1990): the decay rate solves sum p(s) exp(rate s) = 1
+over the histogram of token scores of all documents, and the factor comes from the
+number of documents below the fitted level whose best segment reaches a score. A document is reported if its best segment is
 significant and its surroundings do not speak against it.
 
 NULL and empty texts score 0. Rows with NULL category are no vote.
@@ -38,7 +38,7 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 SAMPLE = 20_000  #: most labelled documents used for the fit
 MAX_FEATURES = 200_000
 DRIFT, BREAK, REACH = 0.6, 2.0, 6
-FOLDS, SUPPORT, GATE = 5, 2, 1.0
+FOLDS, SUPPORT, GATE, BINS = 5, 2, 1.0, 5
 _TOKEN = re.compile(r"https?://\S+|[#@]\w+|[^\W_][\w'*$@!]*[\w*]|[$*\w]\w[\w*$@]*|\w|[.!?\n]+|[^\x00-\x7f\w\s]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")  # l e t t e r s
 _LONG = re.compile(r"([^\W\d_])\1{2,}")  # looong
@@ -331,8 +331,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, carry..., category, n_tokens, score (best segment), net (with its surroundings), n_segments, passage."""
-    schema = docs.select(key, *carry).schema.simpleString()[7:-1] + ",category string,n_tokens int,score double,net double,n_segments int,passage string"
+    """key, carry..., category, n_tokens, score (best segment), net (with its surroundings), n_segments, passage, hist.
+
+    hist counts the document's tokens by score, in steps of 1 / BINS, outside its best segment.
+    """
+    schema = docs.select(key, *carry).schema.simpleString()[7:-1] + ",category string,n_tokens int,score double,net double,n_segments int,passage string,hist map<int,int>"
     kept = {c: {g: x for g, x in w.items()} for c, w in model.weights.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -341,7 +344,8 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
             for t in b["__t"]:
                 toks = tokens(t, model.masked)
                 for c in CATEGORIES:
-                    segs = segments(token_scores(toks, kept[c]))
+                    scores = token_scores(toks, kept[c])
+                    segs = segments(scores)
                     s, lo, hi = max(segs, default=(0.0, 0, 0))
                     out["category"].append(c)
                     out["n_tokens"].append(len(toks))
@@ -349,6 +353,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
                     out["net"].append(s + context(toks, lo, hi, model.around[c]) if s > 0 else 0.0)
                     out["n_segments"].append(len(segs))
                     out["passage"].append(" ".join(toks[lo:hi]))
+                    out["hist"].append(dict(Counter(round(x * BINS) for x in scores[:lo] + scores[hi:])))
             rep = b[[key, *carry]].loc[b.index.repeat(len(CATEGORIES))].reset_index(drop=True)
             yield rep.assign(**out)
 
@@ -363,30 +368,38 @@ class Law:
     k: dict[str, float] = field(default_factory=dict)
 
 
-def calibrate(scored: DataFrame, levels: int = 12) -> Law:
-    """The law of each category from the scores of all documents: a few counts per level, taken where ordinary text lies.
-
-    The decay is the slope of the log-counts between the median and the 99th percentile of positive scores.
-    """
-    law = Law()
-    pos = scored.filter("score > 0")
-    qs = {r.category: r.q for r in pos.groupBy("category").agg(F.percentile_approx("score", F.array(F.lit(0.5), F.lit(0.99)), 1000).alias("q")).collect()}
-    grid = {c: [q[0] + (q[1] - q[0]) * i / (levels - 1) for i in range(levels)] for c, q in qs.items() if q[1] > q[0]}
-    total = {r.category: (r.n, r.t) for r in scored.groupBy("category").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("t")).collect()}
-    if grid:
-        aggs = [F.count_if((F.col("category") == c) & (F.col("score") >= x)).alias(f"{c}_{i}") for c, xs in grid.items() for i, x in enumerate(xs)]
-        row = pos.agg(*aggs).first()
-    for c in CATEGORIES:
-        if c not in grid:
-            law.rate[c], law.k[c] = 1.0, 1.0
-            continue
-        n, t = total[c]
-        pts = [(x, math.log(-math.log(max(1e-12, 1 - min(row[f"{c}_{i}"] / n, 1 - 1e-9))) + 1e-12)) for i, x in enumerate(grid[c]) if row[f"{c}_{i}"] > 0]
-        mx, my = (sum(p[j] for p in pts) / len(pts) for j in (0, 1))
-        var = sum((x - mx) ** 2 for x, _ in pts)
-        slope = sum((x - mx) * (z - my) for x, z in pts) / var if var else -1.0
-        law.rate[c] = min(50.0, max(1e-3, -slope))
-        law.k[c] = math.exp(min(500.0, my + law.rate[c] * mx)) / max(1.0, t or 1.0)
+def decay(hist: dict[int, int]) -> float:
+    """The positive root of sum p(s) exp(rate s) = 1; 5 if no score is positive, and small if the mean score is not negative."""
+    n = sum(hist.values())
+    if not n or max(hist) <= 0:
+        return 5.0
+    if sum(s * c for s, c in hist.items()) >= 0:
+        return 1e-3
+    total = lambda x: sum(c / n * math.exp(min(600.0, x * s / BINS)) for s, c in hist.items())
+    lo, hi = 1e-6, 1.0
+    while total(hi) < 1 and hi < 50:
+        lo, hi = hi, hi * 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if total(mid) < 1 else (lo, mid)
+    return min(5.0, hi)
+
+
+def calibrate(scored: DataFrame, model: Model) -> Law:
+    """The law of each category from all documents: the histogram has one row per step of the score, the rest one row per category."""
+    law = Law({c: 5.0 for c in CATEGORIES}, {c: 0.1 for c in CATEGORIES})
+    hists: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in scored.select("category", F.explode("hist").alias("s", "n")).groupBy("category", "s").agg(F.sum("n").alias("n")).collect():
+        hists[r.category][r.s] = r.n
+    pick = F.element_at(F.create_map(*[F.lit(x) for c in CATEGORIES for x in (c, float(min(model.least[c], 1e9)))]), F.col("category"))
+    usual = scored.filter(F.col("net") < pick)
+    mid = {r.category: r.m for r in usual.filter("score > 0").groupBy("category").agg(F.percentile_approx("score", 0.9, 1000).alias("m")).collect()}
+    at = F.element_at(F.create_map(*[F.lit(x) for c in CATEGORIES for x in (c, float(mid.get(c, 1.0)))]), F.col("category"))
+    for r in usual.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= at).alias("over"), F.avg("n_tokens").alias("t")).collect():
+        c = r.category
+        law.rate[c] = decay(hists.get(c, {}))
+        share = min(0.999, max(r.over, 0.5) / r.n)
+        law.k[c] = -math.log(1 - share) * math.exp(min(500.0, law.rate[c] * mid.get(c, 1.0))) / max(1.0, r.t or 1.0)
     return law
 
 

@@ -89,14 +89,17 @@ def test_toxic_model(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     m = toxic.train(d, spark.createDataFrame(labels, "doc_id long, annotator string, category string"))
     s = toxic.scan(d, m, carry=("source",))
-    s = toxic.significance(s, toxic.calibrate(s)).cache()
+    s = toxic.significance(s, toxic.calibrate(s, m)).cache()
     got = {r.doc_id for r in toxic.flagged(s, m).filter("category = 'abusive'").collect()}
     want = {i for i in range(400) if i % 8 == 0}
     assert len(got & want) / len(want) > 0.9 and len(got & want) / max(1, len(got)) > 0.8
     assert s.count() == 3 * len(rows) and s.filter("doc_id >= 900 and score > 0").count() == 0
     assert toxic.rates(s, m).filter("source is null").count() == 3
+    hist = {-5: 80, 10: 20}
+    x = toxic.decay(hist)
+    assert sum(c / 100 * math.exp(x * k / toxic.BINS) for k, c in hist.items()) == pytest.approx(1)
     none = toxic.train(d, spark.createDataFrame([], "doc_id long, annotator string, category string"))
-    assert toxic.flagged(toxic.significance(s, toxic.calibrate(s)), none).count() == 0
+    assert toxic.flagged(toxic.significance(s.drop('p_value'), toxic.calibrate(s, none)), none).count() == 0
 
 
 def test_water_filling():
@@ -136,7 +139,11 @@ def test_topic_mapping():
 
 def test_subjects(spark, model, data):
     rng = random.Random(6)
-    words = {"law": ["jury", "judge", "verdict", "lawsuit", "tribunal", "appeal"], "sport": ["striker", "goal", "referee", "league", "penalty", "coach"], "none": ["kettle", "lamp", "sofa", "garden", "puddle", "hoodie"]}
+    words = {
+        "law": "jury judge verdict lawsuit tribunal appeal barrister plaintiff subpoena witness courtroom bail custody solicitor".split(),
+        "sport": "striker goal referee league penalty coach midfielder sprint marathon overtime goalkeeper relay stadium tackle".split(),
+        "none": "kettle lamp sofa garden puddle hoodie mirror blanket sandwich toaster window balcony umbrella doorbell".split(),
+    }
     rows, labels = [], []
     for i in range(600):
         s = rng.choice(list(words))
