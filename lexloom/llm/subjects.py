@@ -32,6 +32,7 @@ from lexloom.session import cut
 
 LEAST_DOCS, MAX_VOCAB, TOP_TERMS = 30, 20_000, 40
 LEAST_DF, MOST_SHARE = 3, 0.25
+CLEAR = 0.33  #: least mean association of a topic's terms with its subject
 SUPPORT, PURE = 6, 0.45  #: a word seen in SUPPORT labelled documents must go with one subject (or none) in this share of them
 _END = re.compile(r"(?<=[.!?…])[\s]+|\n+| - | / ")
 
@@ -112,7 +113,7 @@ def map_topic(terms: list[tuple[str, float]], assoc: dict[str, dict[str, float]]
         return None
     lift = {s: v / base[s] for s, v in mean.items()}
     top = max((s for s in lift if s != "none"), key=lambda s: lift[s], default=None)
-    if top is None or lift[top] < clear or mean[top] < max(PURE, mean.get("none", 0.0)):
+    if top is None or lift[top] < clear or mean[top] < max(CLEAR, mean.get("none", 0.0)):
         return None
     return top
 
@@ -161,7 +162,7 @@ def fit(sents: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 11, r
 
 
 def infer(sents: DataFrame, topics: list[Topics], key: str = "doc_id") -> DataFrame:
-    """(key, sent_no, subject, share, n_words): share of a sentence's mixture that a subject's topics hold."""
+    """(key, sent_no, lang, n_words, subject, share): share of a sentence's mixture that a subject's topics hold."""
     parts = []
     rows = sents.select(key, F.posexplode("sents").alias("sent_no", "s")).select(key, "sent_no", "s.lang", F.col("s.words").alias("w"))
     for t in topics:
@@ -172,28 +173,43 @@ def infer(sents: DataFrame, topics: list[Topics], key: str = "doc_id") -> DataFr
         t.model.setFeaturesCol("features")
         d = t.model.transform(cv.transform(rows.filter(F.col("lang") == t.lang))).select(key, "sent_no", vector_to_array("topicDistribution").alias("p"), F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("n_words"))
         shares = F.array(*[F.struct(F.lit(s).alias("subject"), sum((F.get("p", F.lit(i)) for i, x in enumerate(t.subject) if x == s), F.lit(0.0)).alias("share")) for s in names])
-        parts.append(d.filter("n_words > 0").select(key, "sent_no", "n_words", F.inline(F.filter(shares, lambda x: x["share"] > 0.15))))
+        parts.append(d.filter("n_words > 0").select(key, "sent_no", F.lit(t.lang).alias("lang"), "n_words", F.inline(F.filter(shares, lambda x: x["share"] > 0.2))))
     if not parts:
-        return rows.select(key, "sent_no", F.lit(0.0).alias("n_words"), F.lit("").alias("subject"), F.lit(0.0).alias("share")).filter("false")
+        return rows.select(key, "sent_no", "lang", F.lit(0.0).alias("n_words"), F.lit("").alias("subject"), F.lit(0.0).alias("share")).filter("false")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-GRID = [(a, b) for a in (0.3, 0.4, 0.5, 0.6, 0.7) for b in (0.6, 1.0, 1.5, 2.0, 2.5, 3.0)]
+GRID = [(a, b) for a in (0.25, 0.35, 0.45, 0.55, 0.65) for b in (0.3, 0.45, 0.6, 0.8, 1.0, 1.5, 2.0, 2.5, 3.0)]
+LEVELS = sorted({a for a, _ in GRID})
+LEAST_LABELS = 40
 
 
-def choose(scored: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[float, float]:
-    """(least share, least words) with the best F1 against the labels: one pass of conditional counts over all labelled documents."""
-    y = labels.filter("subject is not null").select(key, F.lower(F.trim("subject")).alias("subject")).distinct()
-    best = scored.join(y.select(key).distinct(), key, "left_semi").groupBy(key, "subject").agg(*[F.max(F.when(F.col("share") >= a, F.col("share") * F.col("n_words"))).alias(f"e{i}") for i, a in enumerate(sorted({a for a, _ in GRID}))])
-    levels = sorted({a for a, _ in GRID})
-    j = best.join(y.withColumn("yes", F.lit(True)), [key, "subject"], "left")
-    row = j.agg(*[f(F.col(f"e{levels.index(a)}") >= b).alias(f"{n}{i}") for i, (a, b) in enumerate(GRID) for n, f in (("g", F.count_if), ("t", lambda c: F.count_if(c & F.col("yes"))))]).first()
-    total = y.filter("subject <> 'none'").count()
-    f1 = [2 * row[f"t{i}"] / max(1, row[f"g{i}"] + total) for i in range(len(GRID))]
-    return GRID[max(range(len(GRID)), key=lambda i: (f1[i], -i))]
+def choose(scored: DataFrame, sents: DataFrame, labels: DataFrame, key: str = "doc_id") -> dict[str, tuple[float, float]]:
+    """(least share, least words) of each language with the best F1 against the labels of the documents that use it.
+
+    One pass of conditional counts over all labelled documents. Languages with under LEAST_LABELS
+    labels, and ``""``, have the thresholds that are best for all languages together.
+    """
+    y = labels.filter("subject is not null").select(key, F.lower(F.trim("subject")).alias("subject")).distinct().filter("subject <> 'none'")
+    seen = labels.filter("subject is not null").select(key).distinct()
+    e = scored.join(seen, key, "left_semi").groupBy(key, "lang", "subject").agg(*[F.max(F.when(F.col("share") >= a, F.col("share") * F.col("n_words"))).alias(f"e{i}") for i, a in enumerate(LEVELS)])
+    j = e.join(y.withColumn("yes", F.lit(True)), [key, "subject"], "left")
+    aggs = [f(F.col(f"e{LEVELS.index(a)}") >= b).alias(f"{n}{i}") for i, (a, b) in enumerate(GRID) for n, f in (("g", F.count_if), ("t", lambda c: F.count_if(c & F.col("yes"))))]
+    rows = {r.lang: r for r in j.groupBy("lang").agg(*aggs).collect()}
+    total = {r.lang: r.n for r in sents.select(key, F.explode(F.array_distinct("sents.lang")).alias("lang")).join(y, key).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+
+    def top(langs: list[str]) -> tuple[float, float]:
+        n = sum(total.get(x, 0) for x in langs)
+        f1 = [2 * sum(rows[x][f"t{i}"] for x in langs) / max(1, sum(rows[x][f"g{i}"] for x in langs) + n) for i in range(len(GRID))]
+        return GRID[max(range(len(GRID)), key=lambda i: (f1[i], -i))]
+
+    out = {"": top(sorted(rows))}
+    for x in rows:
+        out[x] = top([x]) if total.get(x, 0) >= LEAST_LABELS else out[""]
+    return out
 
 
 def assign(docs: DataFrame, labels: DataFrame, areas: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[Topics]]:
@@ -202,8 +218,9 @@ def assign(docs: DataFrame, labels: DataFrame, areas: DataFrame, samples: DataFr
     sents = cut(with_sentences(docs, m, key, text))
     topics = fit(sents, labels, areas, key=key)
     scored = cut(infer(sents, topics, key))
-    a, b = choose(scored, labels, key)
-    hit = scored.filter((F.col("share") >= a) & (F.col("share") * F.col("n_words") >= b))
+    at = choose(scored, sents, labels, key)
+    pick = lambda i: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in at.items() for x in (k, v[i])]), F.col("lang")), F.lit(at[""][i]))
+    hit = scored.filter((F.col("share") >= pick(0)) & (F.col("share") * F.col("n_words") >= pick(1)))
     return hit.groupBy(key, "subject").agg(F.max("share").alias("share"), F.sum("n_words").alias("n_words")), topics
 
 
