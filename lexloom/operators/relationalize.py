@@ -159,7 +159,10 @@ def inline(edges: list[tuple[str, str, str, int, int]], root: str = "tweet", sam
                 visit(child, rel, path)
             else:
                 scalar = sorted(ks - {"VOID"})
-                rel.columns[path.replace(".", "_")] = (path, _TYPES.get(scalar[0], "string") if len(scalar) == 1 else "string")
+                name = path.replace(".", "_")
+                while name in rel.columns:  # a_b beside a.b
+                    name += "_"
+                rel.columns[name] = (path, _TYPES.get(scalar[0], "string") if len(scalar) == 1 else "string")
 
     visit(root, schema.relations[root], "")
     return schema
@@ -191,13 +194,19 @@ def element_rows(recs: DataFrame, schema: Schema, key: str, rec: str = "rec", ca
     return recs.filter(F.col(rec).isNotNull()).select(key, *carry, F.inline(nodes))
 
 
+def field_columns(rel: Relation, node: str, key: str) -> list[Column]:
+    """Columns of a relation's fields; a field named like a key column gets a trailing underscore."""
+    taken = {key, "nest_level", "row_key", "parent_key", "ord_no"}
+    return [F.try_variant_get(node, _path(p) if p else "$", t).alias(c + "_" if c in taken else c) for c, (p, t) in rel.columns.items()]
+
+
 def row_key(key: str, level: Column) -> Column:
     return F.concat_ws(":", F.col(key).cast("string"), level.cast("string"))
 
 
 def root_table(nodes: DataFrame, schema: Schema, root: str, key: str) -> DataFrame:
     """One row per occurrence of the root element; parent_key is NULL for the records themselves."""
-    cols = [F.try_variant_get("node", _path(p), t).alias(c) for c, (p, t) in schema.relations[root].columns.items()]
+    cols = field_columns(schema.relations[root], "node", key)
     parent = F.when(F.col("nest_level") > 0, row_key(key, F.col("nest_level") - 1))
     return nodes.select(key, "nest_level", row_key(key, F.col("nest_level")).alias("row_key"), parent.alias("parent_key"), *cols)
 
@@ -219,7 +228,7 @@ def child_table(nodes: DataFrame, schema: Schema, name: str, key: str) -> DataFr
             df = df.withColumn("parent_key", F.concat_ws(":", "parent_key", F.col("ord_no").cast("string")))
         base = df.drop("ord_no") if i else df
         df = base.select(*[c for c in base.columns if c != "__x"], F.posexplode(entries(F.col("__x"), rel.path)).alias("ord_no", "__x"))
-    cols = [F.try_variant_get("__x", _path(p) if p else "$", t).alias(c) for c, (p, t) in schema.relations[name].columns.items()]
+    cols = field_columns(schema.relations[name], "__x", key)
     return df.select(key, "nest_level", "parent_key", "ord_no", *cols)
 
 

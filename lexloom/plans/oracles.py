@@ -394,6 +394,7 @@ k AS (SELECT word FROM t GROUP BY word HAVING count(*) >= {LOW})""", "SELECT id,
 e0 AS (SELECT id, len({HITS(K.HAPPY, 'marked')}) AS h, len({HITS(K.SAD, 'marked')}) AS s, cleaned FROM c9),
 e1 AS (SELECT id, {EMOTION} AS emotion, cleaned FROM e0),
 e2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY emotion, cleaned) AS rn FROM e1 WHERE emotion IN ('positive', 'negative', 'neutral'))""", "SELECT id, emotion, cleaned FROM e2 WHERE rn = 1"),
+        "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
         "lexicon_load": out(LEX, "SELECT lemma, pos, round(score, 6) AS score FROM lexicon"),
         "pos_class": out(LEX, f"SELECT word, tag, {POS} AS pos FROM tags"),
         "lexicon_score": out(lex_score("coalesce(unigrams, '')"), "SELECT id, round(score, 6) AS score FROM scored"),

@@ -21,6 +21,7 @@ from lexloom.operators import selftrain as ST
 from lexloom.operators import temporal as T
 from lexloom.plans import data as P
 from lexloom.sources import layouts as L
+from lexloom.streaming import prequential as PQ
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TAU, LOW = 0.75, 3
@@ -164,6 +165,12 @@ def stem_tokens(spark, d):
     return _long(spark, d).select("id", F.array_join(S.stem_tokens(X.tokens(F.col("unigrams"))), " ").alias("out"))
 
 
+@q
+def event_windows(spark, d):
+    """Tumbling one-day counts; the same function runs on a stream."""
+    return PQ.windowed_counts(P.table(spark, d, "events"), "ts", "event_type", "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 # ---- lexicon ------------------------------------------------------------------------------
 
 
@@ -252,6 +259,14 @@ def nb_posterior(spark, d):
     return _posterior(spark, d).select("id", r6("raw0"), r6("raw1"), r6("p1"))
 
 
+@q
+def nb_hashed_agreement(spark, d):
+    """The hashed pipeline against the relational model on the test rows (no SQL: hashing is the library's own)."""
+    train, _, test = P.roles(spark, d)
+    hashed = B.fit_hashed(train.select("uni", "label"), "uni").transform(test.select("id", "uni")).select("id", F.col("prediction").cast("int").alias("hashed"))
+    return hashed.join(_posterior(spark, d).select("id", "pred"), "id").agg(F.count("*").alias("n"), F.count_if(F.col("hashed") == F.col("pred")).alias("n_agree"))
+
+
 @q
 def nb_label_counts(spark, d):
     train, pool, _ = P.roles(spark, d)

@@ -48,6 +48,13 @@ def test_relations_of_nothing(spark):
     assert list(t) == ["tweet"] and t["tweet"].count() == 0
 
 
+def test_clashing_field_names(spark):
+    _, t = RL.relationalize(records(spark, [(1, '{"line_no":5,"parent_key":"x","a":{"b":[{"ord_no":1,"node":2}]}}')]))
+    r = t["tweet"].first()
+    assert (r.line_no, r.line_no_, r.parent_key, r.parent_key_) == (1, 5, None, "x")
+    assert t["a_b"].first().ord_no_ == 1
+
+
 def test_shape_parser():
     assert RL.parse_shape("OBJECT<a: BIGINT, `b, c`: ARRAY<OBJECT<d: DECIMAL(3, 1)>>>") == ("object", {"a": "BIGINT", "b, c": ("array", ("object", {"d": "DECIMAL"}))})
     with pytest.raises(ValueError):
