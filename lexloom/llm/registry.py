@@ -136,6 +136,20 @@ def p10_topics(spark, d):
     return spark.createDataFrame(rows, "lang string, topic int, subject string, top_terms string")
 
 
+def _form(c: str) -> str:
+    for a, b in lookalike.LIGATURES:
+        c = f"replace({c}, '{a}', '{b}')"
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"nfc_normalize(translate({c}, {lit(lookalike.FROM + lookalike.INVISIBLE)}, {lit(lookalike.TO)}))"
+
+
+_CLASSES = f"""WITH t AS (SELECT doc_id, text, md5(text) AS id, {_form('text')} AS form, length(regexp_replace(text, '[\\x20-\\x7E\\n]', '', 'g')) AS odd FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, first_value(id) OVER (PARTITION BY form ORDER BY odd, length(text), id) AS class_id, first_value(text) OVER (PARTITION BY form ORDER BY odd, length(text), id) AS best FROM t)"""
+SQL["p5_found"] = _CLASSES + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
+_BEST = _form("best").removeprefix("nfc_normalize(").removesuffix(")")
+SQL["p5_canonical"] = _CLASSES + f" SELECT doc_id, class_id, text <> {_BEST} AS changed, md5({_BEST}) AS canonical_md5 FROM c"
+
+
 def queries() -> dict:
     return dict(Q)
 
