@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -32,7 +33,8 @@ from lexloom.session import cut
 
 LEAST_DOCS, MAX_VOCAB, TOP_TERMS = 30, 20_000, 40
 LEAST_DF, MOST_SHARE = 3, 0.25
-CLEAR = 0.33  #: least mean association of a topic's terms with its subject
+DOCS_PER_TOPIC, PARALLEL = 2, 4
+CLEAR = 0.45  #: least mean association of a topic's terms with its subject
 SUPPORT, PURE = 6, 0.45  #: a word seen in SUPPORT labelled documents must go with one subject (or none) in this share of them
 _END = re.compile(r"(?<=[.!?…])[\s]+|\n+| - | / ")
 
@@ -98,12 +100,16 @@ def association(counts: dict[tuple[str, str], float], totals: dict[str, float],
     for w in words:
         c = {s: counts.get((w, s), 0.0) + (3.0 if w in described.get(s, ()) else 0.0) for s in subjects}
         z = sum(c.values())
-        out[w] = {s: (c[s] + 2.0 * base[s]) / (z + 2.0) for s in subjects}
+        out[w] = {s: (c[s] + 0.5 * base[s]) / (z + 0.5) for s in subjects}
     return out
 
 
-def map_topic(terms: list[tuple[str, float]], assoc: dict[str, dict[str, float]], base: dict[str, float], clear: float = 1.6) -> str | None:
-    """Subject of a topic from its top terms (term, weight): the largest lift of the mean association over the subject's share."""
+def map_topic(terms: list[tuple[str, float]], assoc: dict[str, dict[str, float]], base: dict[str, float], evidence: float = 1e9, clear: float = 1.6) -> str | None:
+    """Subject of a topic from its top terms (term, weight): the largest lift of the mean association over the subject's share.
+
+    The mean must reach CLEAR; the less the labels know of the terms (``evidence``: labelled documents summed over them), the
+    more they pull every mean to the subjects' shares, so down to a quarter less is asked.
+    """
     z = sum(w for _, w in terms) or 1.0
     mean: dict[str, float] = defaultdict(float)
     for t, w in terms:
@@ -113,7 +119,7 @@ def map_topic(terms: list[tuple[str, float]], assoc: dict[str, dict[str, float]]
         return None
     lift = {s: v / base[s] for s, v in mean.items()}
     top = max((s for s in lift if s != "none"), key=lambda s: lift[s], default=None)
-    if top is None or lift[top] < clear or mean[top] < max(CLEAR, mean.get("none", 0.0)):
+    if top is None or lift[top] < clear or mean[top] < max(CLEAR * (1 - 0.25 * 100 / (100 + evidence)), mean.get("none", 0.0)):
         return None
     return top
 
@@ -138,27 +144,31 @@ def fit(sents: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 11, r
     subjects = sorted(set(totals) | set(names))
     n = sum(totals.values())
     base = {s: (totals.get(s, 0.0) + 1.0) / (n + len(subjects)) for s in subjects}
-    out = []
-    for lang in sorted(vocab):
-        if n_docs[lang] < LEAST_DOCS:
-            continue
+
+    def one(lang: str) -> Topics | None:
         assoc = association(counts[lang], totals, described, vocab[lang])
-        support = defaultdict(float)
+        support: dict[str, float] = defaultdict(float)
         for (w, _), c in counts[lang].items():
             support[w] += c
         # words that go with every subject alike say nothing: template words, function words
         words = [w for w in vocab[lang] if support[w] < SUPPORT or max(assoc[w].values()) >= PURE]
         if len(words) < 10:
-            continue
-        k = (5 if n_docs[lang] >= 2000 else 3) * max(1, len(names))
+            return None
+        most = (5 if n_docs[lang] >= 2000 else 3) * max(1, len(names))
+        k = max(2, min(most, max(len(names) + 2, n_docs[lang] // DOCS_PER_TOPIC)))
         cv = CountVectorizerModel.from_vocabulary(words, inputCol="w", outputCol="v")
         x = cv.transform(sents.select(_words(lang).alias("w")).filter(F.size("w") > 0)).select("v").persist()
         lda = LDA(k=k, maxIter=rounds, optimizer="online", subsamplingRate=min(1.0, max(0.05, 2000 / n_docs[lang])), featuresCol="v", docConcentration=[0.05] * k, topicConcentration=0.02, learningOffset=16.0, seed=seed)
         m = lda.fit(x)
         x.unpersist()
         tops = [[(words[i], w) for i, w in zip(r.termIndices, r.termWeights)] for r in m.describeTopics(TOP_TERMS).orderBy("topic").collect()]
-        out.append(Topics(lang, words, m, [map_topic(t, assoc, base) for t in tops], [[w for w, _ in t[:15]] for t in tops]))
-    return out
+        known = {w: support[w] + 3.0 * any(w in d for d in described.values()) for w in words}
+        votes = [[(w, x * known[w] / (known[w] + 1.0)) for w, x in t] for t in tops]  # a term the labels hardly know hardly votes
+        return Topics(lang, words, m, [map_topic(t, assoc, base, sum(known[w] for w, _ in t)) for t in votes], [[w for w, _ in t[:15]] for t in tops])
+
+    langs = [x for x in sorted(vocab) if n_docs[x] >= LEAST_DOCS]
+    with ThreadPoolExecutor(PARALLEL) as pool:  # the fits are many short jobs, which leave cores idle one after the other
+        return [t for t in pool.map(one, langs) if t]
 
 
 def infer(sents: DataFrame, topics: list[Topics], key: str = "doc_id") -> DataFrame:
