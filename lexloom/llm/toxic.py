@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.pii import plain
+from lexloom.session import cut
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 SAMPLE = 20_000  #: most labelled documents used for the fit
@@ -188,16 +189,21 @@ def _supported(pos: Counter, seen: Counter) -> Counter:
     return Counter({g: v for g, v in pos.items() if seen[g] >= SUPPORT})
 
 
-def fit(rows: list[tuple[str, dict[str, float]]], prior: dict[str, float], rounds: int = 3, strength: float = 20.0) -> Model:
-    """``rows``: text and, per category, the share of its annotators who chose it. ``prior``: share of documents with an n-gram.
+def fit(rows: list[tuple[str, dict[str, float], float]], prior: dict[str, float], rounds: int = 3, strength: float = 20.0) -> Model:
+    """``rows``: text, per category the share of its annotators who chose it, and how many labelled documents it stands for.
+    ``prior``: share of documents with an n-gram.
 
     Equal texts count once, with their mean votes. Passages of positive texts are found with weights fitted on the
     other folds, so a wrongly labelled text cannot make its own words look offensive.
     """
     merged: dict[tuple[str, ...], list[dict[str, float]]] = defaultdict(list)
-    for t, v in rows:
-        merged[tuple(tokens(t))].append(v)
+    stands: dict[tuple[str, ...], float] = {}
+    for t, v, n in rows:
+        d = tuple(tokens(t))
+        merged[d].append(v)
+        stands[d] = min(n, stands.get(d, n))
     docs = sorted(merged)
+    wt = [stands[d] for d in docs]
     vote = {c: [sum(v.get(c, 0.0) for v in merged[d]) / len(merged[d]) for d in docs] for c in CATEGORIES}
     weights, around, least = {}, {}, {}
     for cat in CATEGORIES:
@@ -211,10 +217,10 @@ def fit(rows: list[tuple[str, dict[str, float]]], prior: dict[str, float], round
         seeds = set(SEEDS[cat].split())
         wanted = {g for i in pos_i for g in features(docs[i], 0, len(docs[i]))}
         neg: Counter = Counter()
-        n_neg = sum(1 - y[i] for i in neg_i)
+        n_neg = sum((1 - y[i]) * wt[i] for i in neg_i)
         for i in neg_i:
             for g in features(docs[i], 0, len(docs[i])) & (wanted | seeds):
-                neg[g] += 1 - y[i]
+                neg[g] += (1 - y[i]) * wt[i]
         part: dict[int, tuple[set[str], float]] = {i: (features(docs[i], 0, len(docs[i])), y[i] ** 2) for i in pos_i}
         probe = neg_i[:: max(1, len(neg_i) // 1500)]
 
@@ -247,15 +253,15 @@ def fit(rows: list[tuple[str, dict[str, float]]], prior: dict[str, float], round
             if s >= GATE:
                 cand.append((i, s, a, b, features(d, *window(d, a, b))))
 
-        def surroundings(skip: int | None, cand=cand, y=y, w=w) -> dict[str, float]:
+        def surroundings(skip: int | None, cand=cand, y=y) -> dict[str, float]:
             p2, q2, seen, n_p, n_q = Counter(), Counter(), Counter(), 0.0, 0.0
             for i, _, _, _, f in cand:
                 if i % FOLDS == skip:
                     continue
-                n_p, n_q = n_p + y[i], n_q + 1 - y[i]
+                n_p, n_q = n_p + y[i], n_q + (1 - y[i]) * wt[i]
                 for g in f:
                     p2[g] += y[i]
-                    q2[g] += 1 - y[i]
+                    q2[g] += (1 - y[i]) * wt[i]
                     seen[g] += 1
             if not (n_p and n_q):
                 return {}
@@ -266,12 +272,12 @@ def fit(rows: list[tuple[str, dict[str, float]]], prior: dict[str, float], round
         c2 = surroundings(None)
         held = {k: surroundings(k) for k in range(FOLDS)}
         # the level that agrees best with the votes, on held-out weights
-        pts = sorted(((s + context(docs[i], a, b, held[i % FOLDS]), y[i] >= 0.5) for i, s, a, b, _ in cand), reverse=True)
-        total = sum(v >= 0.5 for v in y)
-        top, at, tp = -1.0, math.inf, 0
-        for k, (s, v) in enumerate(pts):
-            tp += v
-            f1 = 2 * tp / (k + 1 + total)
+        pts = sorted(((s + context(docs[i], a, b, held[i % FOLDS]), y[i] >= 0.5, wt[i]) for i, s, a, b, _ in cand), reverse=True)
+        total = sum(x for v, x in zip(y, wt) if v >= 0.5)
+        top, at, tp, n = -1.0, math.inf, 0.0, 0.0
+        for k, (s, v, x) in enumerate(pts):
+            tp, n = tp + v * x, n + x
+            f1 = 2 * tp / (n + total)
             if f1 > top + 0.005 and s > 0:
                 nxt = max(0.0, pts[k + 1][0]) if k + 1 < len(pts) else 0.0
                 top, at = f1, (s + nxt) / 2
@@ -293,13 +299,20 @@ def votes(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return v.groupBy(key).agg(F.count("*").alias("n"), *[(F.count_if(F.col("category") == c) / F.count("*")).alias(c) for c in CATEGORIES])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> list[tuple[str, dict[str, float]]]:
-    """Labelled documents on the driver, at most ``most``: those with a vote for any category first, then by hash."""
-    v = votes(labels, key)
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> list[tuple[str, dict[str, float], float]]:
+    """Labelled documents on the driver, at most ``most``: those with a vote for any category first, then by hash.
+
+    Each comes with the number of labelled documents of its kind that it stands for.
+    """
     any_ = sum((F.col(c) for c in CATEGORIES[1:]), F.col(CATEGORIES[0])) > 0
-    ids = v.orderBy(F.when(any_, 0).otherwise(1), F.xxhash64(key), key).limit(most)
-    rows = docs.select(key, F.col(text).alias("__t")).filter(F.col("__t").isNotNull()).join(ids, key).select("__t", *CATEGORIES).collect()
-    return sorted(((r[0], {c: float(r[c]) for c in CATEGORIES if r[c]}) for r in rows), key=lambda x: (x[0], sorted(x[1].items())))
+    v = cut(votes(labels, key).withColumn("any", any_).join(docs.filter(F.col(text).isNotNull()).select(key), key, "left_semi"))
+    n = {r["any"]: r["count"] for r in v.groupBy("any").count().collect()}
+    some = min(most, n.get(True, 0))
+    rest = min(most - some, n.get(False, 0))
+    stands = {True: n.get(True, 0) / max(1, some), False: n.get(False, 0) / max(1, rest)}
+    ids = v.orderBy(F.col("any").desc(), F.xxhash64(key), key).limit(most)
+    rows = docs.select(key, F.col(text).alias("__t")).filter(F.col("__t").isNotNull()).join(ids, key).select("__t", "any", *CATEGORIES).collect()
+    return sorted(((r[0], {c: float(r[c]) for c in CATEGORIES if r[c]}, stands[r["any"]]) for r in rows), key=lambda x: (x[0], sorted(x[1].items())))
 
 
 def corpus_shares(docs: DataFrame, wanted: set[str], text: str = "text") -> dict[str, float]:
@@ -323,7 +336,7 @@ def corpus_shares(docs: DataFrame, wanted: set[str], text: str = "text") -> dict
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Model:
     rows = labelled_sample(docs, labels, key, text, most)
     c: Counter = Counter()
-    for t, _ in rows:
+    for t, _, _ in rows:
         toks = tokens(t)
         c.update(features(toks, 0, len(toks)))
     wanted = {g for g, _ in c.most_common(MAX_FEATURES)}
