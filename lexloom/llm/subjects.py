@@ -27,13 +27,14 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexloom.llm import langid
 from lexloom.session import cut
 
 LEAST_DOCS, MAX_VOCAB, TOP_TERMS = 30, 20_000, 40
 LEAST_DF, MOST_SHARE = 3, 0.25
-DOCS_PER_TOPIC, PARALLEL = 2, 4
+DOCS_PER_TOPIC, PARALLEL = 2, 3
 CLEAR = 0.45  #: least mean association of a topic's terms with its subject
 SUPPORT, PURE = 6, 0.45  #: a word seen in SUPPORT labelled documents must go with one subject (or none) in this share of them
 _END = re.compile(r"(?<=[.!?…])[\s]+|\n+| - | / ")
@@ -88,7 +89,9 @@ def vocabulary(sents: DataFrame) -> DataFrame:
     t = sents.select(F.array_distinct(F.flatten(F.transform("sents", lambda s: F.transform(s["words"], lambda x: F.struct(s["lang"].alias("lang"), x.alias("word")))))).alias("t"))
     n = t.select(F.explode(F.array_distinct("t.lang")).alias("lang")).groupBy("lang").agg(F.count("*").alias("docs"))
     df = t.select(F.explode("t").alias("t")).groupBy("t.lang", "t.word").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n), "lang").filter((F.col("df") >= LEAST_DF) & (F.col("df") <= MOST_SHARE * F.col("docs")) & (F.length("word") > 1))  # n: a row per language
+    fit_ = df.join(F.broadcast(n), "lang").filter((F.col("df") >= LEAST_DF) & (F.col("df") <= MOST_SHARE * F.col("docs")) & (F.length("word") > 1))  # n: a row per language
+    # the topic models have at most MAX_VOCAB terms a language, the most frequent; the rank limit is applied before the shuffle
+    return fit_.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("df"), "word"))).filter(F.col("r") <= MAX_VOCAB).drop("r")
 
 
 def association(counts: dict[tuple[str, str], float], totals: dict[str, float], described: dict[str, set[str]], words: list[str]) -> dict[str, dict[str, float]]:
@@ -131,15 +134,15 @@ def fit(sents: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 11, r
     described = {s: d - usual for s, d in names.items()}
     vocab = defaultdict(list)
     n_docs: dict[str, int] = {}
-    for r in vocabulary(sents).orderBy("lang", F.desc("df"), "word").collect():  # bounded: LEAST_DF prunes the long tail, and MAX_VOCAB is kept per language
-        n_docs[r.lang] = r.docs
-        if len(vocab[r.lang]) < MAX_VOCAB:
-            vocab[r.lang].append(r.word)
+    terms = cut(vocabulary(sents))
+    v = terms.orderBy("lang", F.desc("df"), "word").toArrow().to_pydict()  # at most MAX_VOCAB rows a language
+    for lang, word, docs in zip(v["lang"], v["word"], v["docs"]):
+        n_docs[lang] = docs
+        vocab[lang].append(word)
     counts: dict[str, dict[tuple[str, str], float]] = defaultdict(dict)
-    keep = {lang: set(v) for lang, v in vocab.items()}
-    for r in label_counts(sents, labels, key).collect():
-        if r.word in keep.get(r.lang, ()):
-            counts[r.lang][r.word, r.subject] = r.n
+    v = label_counts(sents, labels, key).join(terms.select("lang", "word"), ["lang", "word"], "left_semi").toArrow().to_pydict()  # at most a row per term and subject
+    for lang, word, subject, x in zip(v["lang"], v["word"], v["subject"], v["n"]):
+        counts[lang][word, subject] = x
     totals = {r.subject: float(r.n) for r in labels.filter("subject is not null").groupBy(F.lower(F.trim("subject")).alias("subject")).agg(F.count("*").alias("n")).collect()}
     subjects = sorted(set(totals) | set(names))
     n = sum(totals.values())
