@@ -1,4 +1,4 @@
-"""Date functions. The session time zone is expected to be UTC."""
+"""Date functions. Months are those in UTC, whatever the session's time zone."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def tweet_ts(s: Column) -> Column:
 
 def month0(s: Column) -> Column:
     """Month counted from 0, the year ignored."""
-    return (F.month(tweet_ts(s)) - 1).cast("int")
+    return (F.month(F.to_utc_timestamp(tweet_ts(s), F.current_timezone())) - 1).cast("int")
 
 
 def epoch_ms(s: Column) -> Column:

@@ -74,6 +74,11 @@ def test_dates(spark):
     got = column(spark, ["Thu Jan 01 00:00:00 +0000 2015", "Xxx Dec 31 23:00:00 -0200 2015", "Mon Feb 30 00:00:00 +0000 2015", "", None], lambda c: D.epoch_ms(c))
     assert got == [1420070400000, 1451610000000, None, None, None]
     assert column(spark, ["Thu Jan 01 00:00:00 +0000 2015"], D.month0) == [0]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert column(spark, ["Thu Jan 01 00:00:00 +0000 2015"], D.month0) == [0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_stem():
