@@ -2,7 +2,9 @@
 
 Documents are cut into sentences, and each sentence gets its language by the
 n-gram likelihoods of ``langid``. Per language a latent Dirichlet topic model is
-fitted on all documents with Spark's distributed online optimiser. The top terms
+fitted on the distinct texts with Spark's distributed online optimiser, so copies
+neither weigh on the topics nor on what is counted as frequent; the subjects are
+joined back to every copy. The top terms
 of each topic are inspected: every term votes for the subjects it goes with in
 the hand-labelled documents and in the subject descriptions, and a topic is
 mapped to the subject with most weight if that is clear, else to none. Sentences
@@ -33,7 +35,7 @@ from lexloom.llm import langid
 from lexloom.session import cut
 
 LEAST_DOCS, MAX_VOCAB, TOP_TERMS = 30, 20_000, 40
-LEAST_DF, MOST_SHARE = 3, 0.25
+LEAST_DF = 3
 DOCS_PER_TOPIC, PARALLEL = 2, 3
 CLEAR = 0.45  #: least mean association of a topic's terms with its subject
 SUPPORT, PURE = 6, 0.45  #: a word seen in SUPPORT labelled documents must go with one subject (or none) in this share of them
@@ -55,12 +57,12 @@ def sentences(text: str | None, m: langid.Model) -> list[dict]:
     return out
 
 
-def with_sentences(docs: DataFrame, m: langid.Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_sentences(docs: DataFrame, m: langid.Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     @F.pandas_udf("array<struct<lang:string,words:array<string>>>")
     def udf(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sentences(t, m))
 
-    return docs.select(key, udf(F.col(text)).alias("sents"))
+    return docs.select(key, *carry, udf(F.col(text)).alias("sents"))
 
 
 def _words(lang: str) -> Column:
@@ -85,11 +87,14 @@ def label_counts(sents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Da
 
 
 def vocabulary(sents: DataFrame) -> DataFrame:
-    """(lang, word, df, docs) of the words used for topics: neither rare nor in most documents of the language."""
-    t = sents.select(F.array_distinct(F.flatten(F.transform("sents", lambda s: F.transform(s["words"], lambda x: F.struct(s["lang"].alias("lang"), x.alias("word")))))).alias("t"))
-    n = t.select(F.explode(F.array_distinct("t.lang")).alias("lang")).groupBy("lang").agg(F.count("*").alias("docs"))
-    df = t.select(F.explode("t").alias("t")).groupBy("t.lang", "t.word").agg(F.count("*").alias("df"))
-    fit_ = df.join(F.broadcast(n), "lang").filter((F.col("df") >= LEAST_DF) & (F.col("df") <= MOST_SHARE * F.col("docs")) & (F.length("word") > 1))  # n: a row per language
+    """(lang, word, df, docs, texts) of the words used for topics, those that are not rare; ``sents`` has a row per distinct text and its ``copies``.
+
+    df and texts count distinct texts. What LEAST_DF and LEAST_DOCS ask is asked of all documents, so merging copies loses no word and no language.
+    """
+    t = sents.select("copies", F.array_distinct(F.flatten(F.transform("sents", lambda s: F.transform(s["words"], lambda x: F.struct(s["lang"].alias("lang"), x.alias("word")))))).alias("t"))
+    n = t.select("copies", F.explode(F.array_distinct("t.lang")).alias("lang")).groupBy("lang").agg(F.sum("copies").alias("docs"), F.count("*").alias("texts"))
+    df = t.select("copies", F.explode("t").alias("t")).groupBy("t.lang", "t.word").agg(F.count("*").alias("df"), F.sum("copies").alias("in_docs"))
+    fit_ = df.filter((F.col("in_docs") >= LEAST_DF) & (F.length("word") > 1)).drop("in_docs").join(F.broadcast(n), "lang")  # n: a row per language
     # the topic models have at most MAX_VOCAB terms a language, the most frequent; the rank limit is applied before the shuffle
     return fit_.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("df"), "word"))).filter(F.col("r") <= MAX_VOCAB).drop("r")
 
@@ -134,10 +139,11 @@ def fit(sents: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 11, r
     described = {s: d - usual for s, d in names.items()}
     vocab = defaultdict(list)
     n_docs: dict[str, int] = {}
+    n_texts: dict[str, int] = {}
     terms = cut(vocabulary(sents))
     v = terms.orderBy("lang", F.desc("df"), "word").toArrow().to_pydict()  # at most MAX_VOCAB rows a language
-    for lang, word, docs in zip(v["lang"], v["word"], v["docs"]):
-        n_docs[lang] = docs
+    for lang, word, docs, texts in zip(v["lang"], v["word"], v["docs"], v["texts"]):
+        n_docs[lang], n_texts[lang] = docs, texts
         vocab[lang].append(word)
     counts: dict[str, dict[tuple[str, str], float]] = defaultdict(dict)
     v = label_counts(sents, labels, key).join(terms.select("lang", "word"), ["lang", "word"], "left_semi").toArrow().to_pydict()  # at most a row per term and subject
@@ -157,11 +163,11 @@ def fit(sents: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 11, r
         words = [w for w in vocab[lang] if support[w] < SUPPORT or max(assoc[w].values()) >= PURE]
         if len(words) < 10:
             return None
-        most = (5 if n_docs[lang] >= 2000 else 3) * max(1, len(names))
-        k = max(2, min(most, max(len(names) + 2, n_docs[lang] // DOCS_PER_TOPIC)))
+        most = (5 if n_texts[lang] >= 2000 else 3) * max(1, len(names))
+        k = max(2, min(most, max(len(names) + 2, n_texts[lang] // DOCS_PER_TOPIC)))
         cv = CountVectorizerModel.from_vocabulary(words, inputCol="w", outputCol="v")
         x = cv.transform(sents.select(_words(lang).alias("w")).filter(F.size("w") > 0)).select("v").persist()
-        lda = LDA(k=k, maxIter=rounds, optimizer="online", subsamplingRate=min(1.0, max(0.05, 2000 / n_docs[lang])), featuresCol="v", docConcentration=[0.05] * k, topicConcentration=0.02, learningOffset=16.0, seed=seed)
+        lda = LDA(k=k, maxIter=rounds, optimizer="online", subsamplingRate=min(1.0, max(0.05, 2000 / n_texts[lang])), featuresCol="v", docConcentration=[0.05] * k, topicConcentration=0.02, learningOffset=16.0, seed=seed)
         m = lda.fit(x)
         x.unpersist()
         tops = [[(words[i], w) for i, w in zip(r.termIndices, r.termWeights)] for r in m.describeTopics(TOP_TERMS).orderBy("topic").collect()]
@@ -228,13 +234,17 @@ def choose(scored: DataFrame, sents: DataFrame, labels: DataFrame, key: str = "d
 def assign(docs: DataFrame, labels: DataFrame, areas: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[Topics]]:
     """(key, subject, share, n_words) of every document's subjects, and the models."""
     m = langid.train(samples)
-    sents = cut(with_sentences(docs, m, key, text))
-    topics = fit(sents, labels, areas, key=key)
-    scored = cut(infer(sents, topics, key))
-    at = choose(scored, sents, labels, key)
+    ids = docs.filter(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("__t"))
+    texts = docs.filter(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("copies")).withColumn("__t", F.sha2(text, 256))
+    sents = cut(with_sentences(texts, m, "__t", text, ("copies",)))
+    labels = cut(labels.filter("subject is not null").join(ids, key).select("__t", F.lower(F.trim("subject")).alias("subject")).distinct())
+    topics = fit(sents, labels, areas, key="__t")
+    scored = cut(infer(sents, topics, "__t"))
+    at = choose(scored, sents, labels, "__t")
     pick = lambda i: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in at.items() for x in (k, v[i])]), F.col("lang")), F.lit(at[""][i]))
     hit = scored.filter((F.col("share") >= pick(0)) & (F.col("share") * F.col("n_words") >= pick(1)))
-    return hit.groupBy(key, "subject").agg(F.max("share").alias("share"), F.sum("n_words").alias("n_words")), topics
+    found = hit.groupBy("__t", "subject").agg(F.max("share").alias("share"), F.sum("n_words").alias("n_words"))
+    return ids.distinct().join(found, "__t").select(key, "subject", "share", "n_words"), topics
 
 
 def composition(assigned: DataFrame, docs: DataFrame) -> DataFrame:

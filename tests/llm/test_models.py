@@ -159,3 +159,24 @@ def test_subjects(spark, model, data):
     none, _ = subjects.assign(d.filter("false"), y, a, spark.read.parquet(f"{data}/lang_sample.parquet"))
     assert none.count() == 0
     assert subjects.sentences(None, model) == [] and subjects.sentences("", model) == []
+
+
+def test_subjects_of_many_copies(spark, data):
+    rng = random.Random(6)
+    words = {
+        "law": "jury judge verdict lawsuit tribunal appeal barrister plaintiff subpoena witness courtroom bail custody solicitor".split(),
+        "sport": "striker goal referee league penalty coach midfielder sprint marathon overtime goalkeeper relay stadium tackle".split(),
+        "none": "kettle lamp sofa garden puddle hoodie mirror blanket sandwich toaster window balcony umbrella doorbell".split(),
+    }
+    rows, labels = [], []
+    for i in range(400):
+        s = rng.choice(list(words))
+        rows.append((i, ". ".join(f"the {a} and the {b} and one {c} again today" for a, b, c in [rng.sample(words[s], 3) for _ in range(2)])))
+        labels.append((i, s))
+    copied = "the jury and the judge and one verdict again today. the witness and the barrister and one lawsuit again today"
+    rows += [(i, copied) for i in range(1000, 1250)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([x for x in labels if x[0] % 4 == 0], "doc_id long, subject string")
+    a = spark.createDataFrame([("law", "texts about jury, judge and the like"), ("sport", "texts about striker, goal and the like")], "subject string, description string")
+    got = {(r.doc_id, r.subject) for r in subjects.assign(d, y, a, spark.read.parquet(f"{data}/lang_sample.parquet"))[0].collect()}
+    assert {(i, "law") for i in range(1000, 1250)} <= got and not {(i, "sport") for i in range(1000, 1250)} & got
