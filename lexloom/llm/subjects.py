@@ -113,9 +113,9 @@ def association(counts: dict[tuple[str, str], float], totals: dict[str, float],
 
 
 def map_topic(terms: list[tuple[str, float]], assoc: dict[str, dict[str, float]], base: dict[str, float], evidence: float = 1e9, clear: float = 1.6) -> str | None:
-    """Subject of a topic from its top terms (term, weight): the largest lift of the mean association over the subject's share.
+    """Subject of a topic from its top terms (term, weight): the largest mean association of those that are clear.
 
-    The mean must reach CLEAR; the less the labels know of the terms (``evidence``: labelled documents summed over them), the
+    The mean must reach CLEAR and ``clear`` times the subject's share; the less the labels know of the terms (``evidence``: labelled documents summed over them), the
     more they pull every mean to the subjects' shares, so down to a quarter less is asked.
     """
     z = sum(w for _, w in terms) or 1.0
@@ -125,11 +125,8 @@ def map_topic(terms: list[tuple[str, float]], assoc: dict[str, dict[str, float]]
             mean[s] += w / z * p
     if not mean:
         return None
-    lift = {s: v / base[s] for s, v in mean.items()}
-    top = max((s for s in lift if s != "none"), key=lambda s: lift[s], default=None)
-    if top is None or lift[top] < clear or mean[top] < max(CLEAR * (1 - 0.25 * 100 / (100 + evidence)), mean.get("none", 0.0)):
-        return None
-    return top
+    least = max(CLEAR * (1 - 0.25 * 100 / (100 + evidence)), mean.get("none", 0.0))
+    return max((s for s, v in mean.items() if s != "none" and v >= least and v / base[s] >= clear), key=lambda s: mean[s], default=None)
 
 
 def fit(sents: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 11, rounds: int = 40, key: str = "doc_id") -> list[Topics]:

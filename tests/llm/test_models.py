@@ -180,3 +180,13 @@ def test_subjects_of_many_copies(spark, data):
     a = spark.createDataFrame([("law", "texts about jury, judge and the like"), ("sport", "texts about striker, goal and the like")], "subject string, description string")
     got = {(r.doc_id, r.subject) for r in subjects.assign(d, y, a, spark.read.parquet(f"{data}/lang_sample.parquet"))[0].collect()}
     assert {(i, "law") for i in range(1000, 1250)} <= got and not {(i, "sport") for i in range(1000, 1250)} & got
+
+
+def test_topic_of_a_frequent_subject():
+    assoc = {"jury": {"law": 0.7, "chess": 0.2, "none": 0.1}, "pawn": {"law": 0.1, "chess": 0.8, "none": 0.1}}
+    base = {"law": 1 / 3, "chess": 0.08, "none": 0.587}
+    assert subjects.map_topic([("jury", 1.0)], assoc, base) == "law"  # chess has the larger lift but a mean of 0.2
+    assert subjects.map_topic([("pawn", 1.0)], assoc, base) == "chess"
+    even = {"gambit": {"law": 0.54, "chess": 0.46, "none": 0.0}}
+    assert subjects.map_topic([("gambit", 1.0)], even, base) == "law"  # the subject with most weight
+    assert subjects.map_topic([("jury", 1.0)], {"jury": {"law": 0.3, "chess": 0.3, "none": 0.4}}, base) is None
