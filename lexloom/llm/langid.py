@@ -4,7 +4,8 @@ Each language has character n-gram and word likelihoods, fitted on the clean
 sample sentences and then on a bounded sample of documents whose label and
 content agree. A document is a mixture: expectation-maximisation estimates its
 language proportions from the words' likelihoods, and languages are added to its
-set while the penalised likelihood rises. Words are then assigned by the best
+set while the penalised likelihood rises, or for the gain of one run of words
+over the best path so far, whatever the length of the text. Words are then assigned by the best
 path with a cost per switch, which gives the segments; the confidence is the
 mean posterior of a segment's words (of a document: its words' for its main language).
 
@@ -30,7 +31,7 @@ from lexloom.llm import lookalike as L
 
 SAMPLE = 16_000  #: most labelled documents used for the fit
 ORDER, LEAST_WORDS = 5, 4
-SWITCH, PENALTY = 9.0, 6.0
+SWITCH, PENALTY, LOCAL = 9.0, 6.0, 3.0  #: LOCAL: what a run must gain over its two switches
 _INV = {ord(c): None for c in L.INVISIBLE}
 _BASE = _INV | {ord(a): b for a, b in zip(L.BLANKS + L.HYPHENS + L.FULL, " " * len(L.BLANKS) + "-" * len(L.HYPHENS) + L.FULL_AS)} | {ord(a): b for a, b in L.LIGATURES} | {ord("’"): "'"}
 _TO_LATIN = {ord(a): b for a, b in zip(L.CYRILLIC + L.GREEK, L.AS_LATIN + L.GREEK_AS_LATIN)}
@@ -203,6 +204,43 @@ def path(ll: np.ndarray, chosen: list[int], p: np.ndarray, switch: float = SWITC
     return np.array(chosen)[out]
 
 
+def runs_of_others(ll: np.ndarray, chosen: list[int], local: float = LOCAL) -> list[int]:
+    """``chosen`` and the languages of which a run of LEAST_WORDS or more words gains over the best path more than its two switches and ``local`` cost.
+
+    LEAST_WORDS words of the run must lean to the language.
+    """
+    chosen = list(chosen)
+    n = len(ll)
+    while n >= LEAST_WORDS and len(chosen) < ll.shape[1]:
+        have = ll[np.arange(n), path(ll, chosen, np.full(len(chosen), 1.0 / len(chosen)))]
+        top, add = 2 * SWITCH + local, None
+        for j in range(ll.shape[1]):
+            d = ll[:, j] - have
+            if j in chosen or np.maximum(d, 0).sum() <= top:
+                continue
+            s = np.concatenate([[0.0], np.cumsum(d)])
+            low = np.minimum.accumulate(s[: n - LEAST_WORDS + 1])
+            b = int((s[LEAST_WORDS:] - low).argmax())
+            a = int(s[: b + 1].argmin())
+            gain = s[b + LEAST_WORDS] - s[a]
+            if gain > top and (d[a : b + LEAST_WORDS] > 0).sum() >= LEAST_WORDS:
+                top, add = gain, j
+        if add is None:
+            break
+        chosen.append(add)
+    return chosen
+
+
+def proportions(ll: np.ndarray, chosen: list[int], rounds: int = 12) -> np.ndarray:
+    """Proportions of the chosen languages by EM."""
+    like = np.exp(ll - ll.max(axis=1, keepdims=True))[:, chosen]
+    p = np.full(len(chosen), 1.0 / len(chosen))
+    for _ in range(rounds):
+        x = like * p
+        p = (x / x.sum(axis=1, keepdims=True).clip(1e-300)).mean(axis=0)
+    return p
+
+
 def analyse(text: str | None, m: Model) -> tuple[str | None, float, list[tuple[str, int, int, float]], dict[str, float]]:
     """(language, confidence, segments (language, first word, words, confidence), proportions) of a text."""
     ws = words(text)
@@ -210,6 +248,9 @@ def analyse(text: str | None, m: Model) -> tuple[str | None, float, list[tuple[s
         return None, 0.0, [], {}
     ll = m.matrix(ws)
     chosen, p = mixture(ll)
+    more = runs_of_others(ll, chosen)
+    if len(more) > len(chosen):
+        chosen, p = more, proportions(ll, more)
     lang = path(ll, chosen, p)
     post = np.exp(ll - ll.max(axis=1, keepdims=True))
     post /= post.sum(axis=1, keepdims=True)

@@ -190,3 +190,27 @@ def test_topic_of_a_frequent_subject():
     even = {"gambit": {"law": 0.54, "chess": 0.46, "none": 0.0}}
     assert subjects.map_topic([("gambit", 1.0)], even, base) == "law"  # the subject with most weight
     assert subjects.map_topic([("jury", 1.0)], {"jury": {"law": 0.3, "chess": 0.3, "none": 0.4}}, base) is None
+
+
+def test_short_passages_in_long_texts(spark, data):
+    rows = sorted((r.lang, r.text) for r in spark.read.parquet(f"{data}/lang_sample.parquet").collect())
+    langs = tuple(sorted({x for x, _ in rows}))
+    m = langid.fit([(x, langid.words(t)) for i, (x, t) in enumerate(rows) if i % 4], langs)
+    held = {x: [langid.words(t) for i, (y, t) in enumerate(rows) if y == x and i % 4 == 0] for x in langs}
+    rng = random.Random(1)
+
+    def text(lang, n):
+        w = []
+        while len(w) < n:
+            w += rng.choice(held[lang])
+        return w[:n]
+
+    for n in (30, 100, 300):
+        hits = 0
+        for i in range(60):
+            a, b = rng.sample(langs, 2)
+            w, at = text(a, n), rng.randrange(5, n - 5)
+            assert {s[0] for s in langid.analyse(" ".join(w), m)[2]} == {a}
+            mixed = w[:at] + text(b, 4 + i % 3) + w[at:]
+            hits += [s[0] for s in langid.analyse(" ".join(mixed), m)[2]] == [a, b, a]
+        assert hits >= 48, (n, hits)
