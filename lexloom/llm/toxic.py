@@ -14,8 +14,9 @@ Scan, over all documents and whole texts: one linear pass gives all maximal
 scoring segments (Ruzzo and Tompa, 1999). Scores are calibrated by an extreme
 value law (Karlin and Altschul, 1990): the decay rate solves sum p(s) exp(rate s) = 1
 over the histogram of token scores of all documents, and the factor comes from the
-number of documents below the fitted level whose best segment reaches a score. A document is reported if its best segment is
-significant and its surroundings do not speak against it.
+number of documents below the fitted level whose best segment reaches a score. A document is reported if any of its segments is
+significant and has no surroundings that speak against it, not only the best one. Its p-value is that of the sum
+statistic (Karlin and Altschul, 1993) of the segments that their surroundings leave standing and that are significant by themselves.
 
 NULL and empty texts score 0. Rows with NULL category are no vote.
 """
@@ -29,7 +30,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.pii import plain
@@ -344,11 +345,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, carry..., category, n_tokens, score (best segment), net (with its surroundings), n_segments, passage, hist.
+    """key, carry..., category, n_tokens, score, net (with its surroundings), standing, n_segments, passage, hist.
 
-    hist counts the document's tokens by score, in steps of 1 / BINS, outside its best segment.
+    Each maximal segment is judged with its own surroundings: ``standing`` has the scores, from the highest, of those that reach
+    GATE and, with their surroundings, the fitted level. score, net and passage are of the highest of these, else of the best
+    segment. hist counts the document's tokens by score, in steps of 1 / BINS, outside the best segment.
     """
-    schema = docs.select(key, *carry).schema.simpleString()[7:-1] + ",category string,n_tokens int,score double,net double,n_segments int,passage string,hist map<int,int>"
+    schema = docs.select(key, *carry).schema.simpleString()[7:-1] + ",category string,n_tokens int,score double,net double,standing array<double>,n_segments int,passage string,hist map<int,int>"
     kept = {c: {g: x for g, x in w.items()} for c, w in model.weights.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,14 +362,19 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
                 for c in CATEGORIES:
                     scores = token_scores(toks, kept[c])
                     segs = segments(scores)
-                    s, lo, hi = max(segs, default=(0.0, 0, 0))
+                    s, lo, hi = top = max(segs, default=(0.0, 0, 0))
+                    around, least = model.around[c], model.least[c]
+                    nets = [(x, a, e, x + context(toks, a, e, around)) for x, a, e in sorted(segs, reverse=True) if x >= GATE]
+                    ok = [x for x in nets if x[3] >= least]
+                    s, lo, hi, net = ok[0] if ok else nets[0] if nets else (*top, s + context(toks, lo, hi, around) if s > 0 else 0.0)
                     out["category"].append(c)
                     out["n_tokens"].append(len(toks))
                     out["score"].append(s)
-                    out["net"].append(s + context(toks, lo, hi, model.around[c]) if s > 0 else 0.0)
+                    out["net"].append(net)
+                    out["standing"].append([x[0] for x in ok])
                     out["n_segments"].append(len(segs))
                     out["passage"].append(" ".join(toks[lo:hi]))
-                    out["hist"].append(dict(Counter(round(x * BINS) for x in scores[:lo] + scores[hi:])))
+                    out["hist"].append(dict(Counter(round(x * BINS) for x in scores[: top[1]] + scores[top[2] :])))
             rep = b[[key, *carry]].loc[b.index.repeat(len(CATEGORIES))].reset_index(drop=True)
             yield rep.assign(**out)
 
@@ -416,14 +424,29 @@ def calibrate(scored: DataFrame, model: Model) -> Law:
     return law
 
 
-def significance(scored: DataFrame, law: Law) -> DataFrame:
-    """Adds p_value: how likely ordinary text of that length has a segment with such a score."""
+def significance(scored: DataFrame, law: Law, most: float = 0.05) -> DataFrame:
+    """Adds p_value: how likely ordinary text of that length has a segment with such a score, or several that together are as rare.
+
+    For the r highest standing segments, each significant (``most``) by itself, the chance that the sum of rate * score - ln(k n) reaches T
+    is about exp(-T) T^(r-1) / (r! (r-1)!); the least of these over r counts, doubled for each further segment as r is chosen.
+    """
     pick = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("category"))
-    return scored.withColumn("p_value", F.when(F.col("score") <= 0, 1.0).otherwise(1 - F.exp(-pick(law.k) * F.col("n_tokens") * F.exp(-pick(law.rate) * F.col("score")))))
+    single = lambda s: 1 - F.exp(-pick(law.k) * F.col("n_tokens") * F.exp(-pick(law.rate) * s))
+    one = F.when(F.col("score") <= 0, 1.0).otherwise(single(F.col("score")))
+    t = F.transform(F.filter("standing", lambda s: single(s) <= most), lambda s: pick(law.rate) * s - F.log(pick(law.k) * F.col("n_tokens")))
+    start = F.struct(F.lit(0).alias("r"), F.lit(0.0).alias("t"), F.lit(0.0).alias("f"), F.lit(0.0).alias("p"))
+
+    def add(a: Column, x: Column) -> Column:
+        r, total = a["r"] + 1, a["t"] + x
+        f = a["f"] + F.log(r.cast("double")) + F.log(F.greatest(r - 1, F.lit(1)).cast("double"))  # ln(r! (r-1)!)
+        p = -total + (r - 1) * F.log(F.greatest(total, F.lit(1e-9))) - f + (r - 1) * math.log(2)
+        return F.struct(r.alias("r"), total.alias("t"), f.alias("f"), F.when(r > 1, F.least(a["p"], p)).otherwise(F.lit(0.0)).alias("p"))
+
+    return scored.withColumn("p_value", F.least(one, F.exp(F.aggregate(t, start, add, lambda a: a["p"]))))
 
 
 def flagged(scored: DataFrame, model: Model, most: float = 0.05) -> DataFrame:
-    """Rows (document, category) whose passage is significant and reaches the fitted level."""
+    """Rows (document, category) with a passage that is significant and reaches the fitted level; the highest that reaches it decides."""
     pick = F.element_at(F.create_map(*[F.lit(x) for c in CATEGORIES for x in (c, float(min(model.least[c], 1e9)))]), F.col("category"))
     return scored.filter((F.col("score") >= GATE) & (F.col("net") >= pick) & (F.col("p_value") <= most))
 

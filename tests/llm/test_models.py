@@ -214,3 +214,18 @@ def test_short_passages_in_long_texts(spark, data):
             mixed = w[:at] + text(b, 4 + i % 3) + w[at:]
             hits += [s[0] for s in langid.analyse(" ".join(mixed), m)[2]] == [a, b, a]
         assert hits >= 48, (n, hits)
+
+
+def test_every_passage_is_judged(spark):
+    insult, report = {"fool": 4.0, "moron": 5.0}, {"reported": -6.0}
+    m = toxic.Model({c: insult if c == "abusive" else {} for c in toxic.CATEGORIES}, {c: report if c == "abusive" else {} for c in toxic.CATEGORIES}, {}, {c: 2.0 for c in toxic.CATEGORIES})
+    plain_ = "the red kettle was fine today"
+    texts = [f"he reported moron here. {plain_}. you fool", f"he reported moron here. {plain_}", "you fool. " + plain_, "you fool. " + plain_ + ". you fool", plain_]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    law = toxic.Law({c: 2.0 for c in toxic.CATEGORIES}, {c: 0.1 for c in toxic.CATEGORIES})
+    s = toxic.significance(toxic.scan(d, m), law).filter("category = 'abusive'").cache()
+    r = {x.doc_id: x for x in s.collect()}
+    assert {x.doc_id for x in toxic.flagged(s, m).collect()} == {0, 2, 3}  # the highest passage of 0 is a report, its insult stands lower
+    assert r[0].passage == "fool" and r[1].standing == [] and len(r[3].standing) == 2
+    one = 1 - math.exp(-0.1 * r[3].n_tokens * math.exp(-2 * r[3].score))
+    assert 0 < r[3].p_value < one and r[2].p_value < 0.05 and r[4].p_value == 1
