@@ -7,6 +7,8 @@ verified by chaining exact runs with a bounded share of edits.
 
 Completeness: of n >= 14 item words with at most one in ten changed, dropped or
 added, six in a row are always intact, and a mask of six positions finds these.
+An edit that doubles a word or drops one of two equal neighbours lets the exact
+runs on its sides overlap; the later one is trimmed.
 
 NULL and empty texts hold nothing. Repeated documents are all reported. Items
 under ``least`` words cannot be found.
@@ -76,11 +78,13 @@ def leaked(doc: Sequence[str], item: Sequence[str], least: int = LEAST, one_in:
     best: list[dict[int, int]] = []  # per run: edits: earliest item start
     for k, (i0, i1, j0, j1) in enumerate(runs):
         b = {0: i0}
-        for je in range(j0 - 3, j0 + 1):
+        for je in range(j0 - 3, j0 + 4):
             for p in ends.get(je, ()):
                 pi1, pj1 = runs[p][1], runs[p][3]
                 gi, gj = i0 - pi1, j0 - pj1
-                if 0 <= gi <= 3 and (gi or gj):
+                trim = max(0, -gi, -gj)  # words of this run that its predecessor has already
+                gi, gj = gi + trim, j0 + trim - pj1
+                if trim < j1 - j0 and 0 <= gi <= 3 and 0 <= gj <= 3 and (gi or gj):
                     cost = max(gi, gj)
                     for e, st in best[p].items():
                         if e + cost <= most and st < b.get(e + cost, 1 << 30):

@@ -78,3 +78,24 @@ def test_marks_case_and_letters_do_not_count():
     one = base[:6] + ["extra"] + base[6:]
     assert leak.leaked(one, base) and not leak.leaked(base[:4] + ["x"] + base[4:9] + ["y"] + base[9:14], base)
     assert re.sub(leak.MARKS, " ", "a [cont.] b 2/5 c").split() == ["a", "b", "c"]
+
+
+def test_doubled_and_dropped_equal_words(spark):
+    base = "the quick brown fox jumps over over a lazy dog while seven old cats watch it quietly".split()
+    doubled = base[:9] + base[8:]  # lazy lazy
+    dropped = base[:6] + base[7:]  # one of two "over"
+    assert leak.leaked(doubled, base) and leak.leaked(dropped, base)
+    assert not leak.leaked(base[:4] + ["x"] + doubled[4:9] + ["y"] + doubled[9:14], base)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    items, texts, want = [], [], set()
+    for k in range(40):
+        w = rng.sample(vocab, 20)
+        w[8:8] = [w[7]]
+        items.append(w)
+        i = rng.randrange(5, 13)
+        body = w[: i + 1] + w[i:] if k % 2 else w[:8] + w[9:]
+        texts.append(" ".join(["q1", *body, "q2"]))
+        want.add((k, k))
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert want <= {tuple(r) for r in leak.find(docs(spark, texts), it).collect()}
