@@ -31,7 +31,7 @@ from lexloom.llm import lookalike as L
 
 SAMPLE = 16_000  #: most labelled documents used for the fit
 ORDER, LEAST_WORDS = 5, 4
-SWITCH, PENALTY, LOCAL = 9.0, 6.0, 3.0  #: LOCAL: what a run must gain over its two switches
+SWITCH, PENALTY, LOCAL = 9.0, 6.0, 9.0  #: LOCAL: what a run must gain over its two switches
 _INV = {ord(c): None for c in L.INVISIBLE}
 _BASE = _INV | {ord(a): b for a, b in zip(L.BLANKS + L.HYPHENS + L.FULL, " " * len(L.BLANKS) + "-" * len(L.HYPHENS) + L.FULL_AS)} | {ord(a): b for a, b in L.LIGATURES} | {ord("’"): "'"}
 _TO_LATIN = {ord(a): b for a, b in zip(L.CYRILLIC + L.GREEK, L.AS_LATIN + L.GREEK_AS_LATIN)}
