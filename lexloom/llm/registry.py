@@ -46,7 +46,7 @@ def p5_found(spark, d):
 
 @q
 def p5_canonical(spark, d):
-    return lookalike.canonical(documents(spark, d)).select("doc_id", "class_id", "changed", F.md5("canonical_text").alias("canonical_md5"))
+    return lookalike.canonical(documents(spark, d)).select("doc_id", "class_id", "n_links", "changed", F.md5("canonical_text").alias("canonical_md5"))
 
 
 def _languages(spark, d):
@@ -143,11 +143,21 @@ def _form(c: str) -> str:
     return f"nfc_normalize(translate({c}, {lit(lookalike.FROM + lookalike.INVISIBLE)}, {lit(lookalike.TO)}))"
 
 
-_CLASSES = f"""WITH t AS (SELECT doc_id, text, md5(text) AS id, {_form('text')} AS form, length(regexp_replace(text, '[\\x20-\\x7E\\n]', '', 'g')) AS odd FROM documents WHERE text IS NOT NULL),
-c AS (SELECT *, first_value(id) OVER (PARTITION BY form ORDER BY odd, length(text), id) AS class_id, first_value(text) OVER (PARTITION BY form ORDER BY odd, length(text), id) AS best FROM t)"""
-SQL["p5_found"] = _CLASSES + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
-_BEST = _form("best").removeprefix("nfc_normalize(").removesuffix(")")
-SQL["p5_canonical"] = _CLASSES + f" SELECT doc_id, class_id, text <> {_BEST} AS changed, md5({_BEST}) AS canonical_md5 FROM c"
+def _kept(c: str, kept: str) -> str:
+    return f"length(regexp_replace({c}, '[^{kept}]', '', 'g'))"
+
+
+_PLAINER = lookalike.BLANKS + lookalike.HYPHENS + lookalike.FULL + lookalike.MATH + lookalike.INVISIBLE + "".join(x for x, _ in lookalike.LIGATURES)
+_CLASSES = f"""WITH s AS (SELECT doc_id, text, md5(text) AS id, {_form('text')} AS form,
+  {_kept('text', '\\p{L}')} AS letters, {_kept('text', '\\p{Cyrillic}')} AS cyr, {_kept('text', '\\p{Latin}')} AS lat,
+  {_kept(f"translate(text, '{lookalike.CYRILLIC}', '')", '\\p{Cyrillic}')} AS own_cyr, {_kept(f"translate(text, '{lookalike.AS_LATIN}', '')", '\\p{Latin}')} AS own_lat
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, letters - CASE WHEN own_cyr > own_lat OR (own_cyr = own_lat AND cyr > lat) THEN cyr ELSE lat END AS strange FROM s),
+k AS (SELECT *, count(*) OVER (PARTITION BY form) AS n FROM (SELECT DISTINCT id, text, form, strange FROM t)),
+o AS (SELECT *, CASE WHEN n > 1 THEN length(text) - length(regexp_replace(translate(text, '{_PLAINER}', ''), '\\p{{M}}', '', 'g')) END AS odd FROM k),
+c AS (SELECT DISTINCT form, first_value(id) OVER (PARTITION BY form ORDER BY strange, odd, length(text), id) AS class_id FROM o)"""
+SQL["p5_found"] = f"WITH t AS (SELECT doc_id, text, {_form('text')} AS form FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
+SQL["p5_canonical"] = _CLASSES + " SELECT doc_id, class_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, id) AS n_links, id <> class_id AS changed, class_id AS canonical_md5 FROM t JOIN c USING (form)"
 
 
 def queries() -> dict:

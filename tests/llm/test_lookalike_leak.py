@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lexloom.llm import leak, lookalike
 
 E_ACUTE, DECOMPOSED = "é", "é"
@@ -99,3 +101,31 @@ def test_doubled_and_dropped_equal_words(spark):
         want.add((k, k))
     it = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     assert want <= {tuple(r) for r in leak.find(docs(spark, texts), it).collect()}
+
+
+def test_canonical_is_a_member(spark):
+    t = ["Сегодня в Москве", "Ceгодня в Mocкве", "Сегодня в Москве", "a cop", "а сор", "cop", "сор", "𝐛old", "bold", "Мир", None, "bold"]
+    c = {r.doc_id: r for r in lookalike.canonical(docs(spark, t)).collect()}
+    assert [c[i].canonical_text for i in (0, 1, 2)] == [t[0]] * 3 and not c[0].changed and c[1].changed and c[2].changed
+    assert c[4].canonical_text == "a cop" and c[6].canonical_text == c[5].canonical_text in ("cop", "сор") and c[7].canonical_text == "bold" and not c[9].changed and 10 not in c
+    assert (c[0].n_links, c[7].n_links, c[8].n_links, c[9].n_links) == (2, 2, 1, 0)
+    assert c[0].class_id == c[1].class_id != c[3].class_id
+    assert lookalike.canonical(docs(spark, t).filter("false")).count() == 0
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "BLOCK", 3)
+    t = ["cope" + "​" * (i % 8) for i in range(40)] + ["сope"] * 9
+    got = [tuple(r) for r in lookalike.pairs(docs(spark, t)).collect()]
+    want = {(a, b) for a in range(49) for b in range(a + 1, 49) if t[a] != t[b]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_canonically_equivalent_texts_share_a_skeleton(spark):
+    import unicodedata
+
+    chars = [chr(c) for r in (range(0x20, 0x3000), range(0xAC00, 0xAC40), range(0xF900, 0xFB50)) for c in r if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    rows = [(f"x{c}y", unicodedata.normalize(n, f"x{c}y")) for c in chars for n in ("NFC", "NFD")]
+    d = spark.createDataFrame([r for r in rows if r[0] != r[1]], "a string, b string")
+    assert d.filter(lookalike.skeleton(F.col("a")) != lookalike.skeleton(F.col("b"))).count() == 0
+    assert lookalike.pairs(docs(spark, ["no 1", "no ١", "no ①"])).count() == 0
