@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexloom.llm import leak, lookalike
@@ -129,3 +130,58 @@ def test_canonically_equivalent_texts_share_a_skeleton(spark):
     d = spark.createDataFrame([r for r in rows if r[0] != r[1]], "a string, b string")
     assert d.filter(lookalike.skeleton(F.col("a")) != lookalike.skeleton(F.col("b"))).count() == 0
     assert lookalike.pairs(docs(spark, ["no 1", "no ١", "no ①"])).count() == 0
+
+
+def brute_leak(doc, item, least=14, one_in=10):
+    """By dynamic programming over edit distances: some ``least`` or more words of the item, the first and last intact, within one edit in ``one_in``."""
+    doc = np.array(doc)
+    at = np.arange(len(doc) + 1)
+    for a in range(len(item) - least + 1):
+        cost = np.full(len(doc) + 1, 10**6)
+        cost[1:][doc == item[a]] = 0  # ends of a document passage that starts with the item's word a
+        cost = np.minimum.accumulate(cost - at) + at
+        for b in range(a + 1, len(item)):
+            same = doc == item[b]
+            kept = np.where(same, cost[:-1], 10**6)
+            if b - a + 1 >= least and kept.min(initial=10**6) <= (b - a + 1) // one_in:
+                return True
+            nxt = np.concatenate([[10**6], np.minimum(kept, cost[:-1] + 1)])
+            nxt = np.minimum(nxt, cost + 1)
+            cost = np.minimum.accumulate(nxt - at) + at
+    return False
+
+
+def test_leaks_against_edit_distance(spark):
+    rng = random.Random(5)
+    items, texts, pairs = [], [], []
+    for k in range(160):
+        n = rng.choice([13, 14, 15, 19, 20, 21, 30, 34])
+        vocab = [f"w{i}" for i in range(rng.choice([12, 60, 400]))]
+        item = [rng.choice(vocab) for _ in range(n + 6)]
+        body = item[3 : 3 + n]
+        for _ in range(rng.choice([0, n // 10, n // 10, n // 10 + 1])):
+            i = rng.randrange(1, len(body) - 1)
+            kind = rng.choice(["change", "drop", "add", "double"])
+            body[i : i + 1] = {"change": ["zz"], "drop": [], "add": ["yy", body[i]], "double": [body[i]] * 2}[kind]
+        items.append(item)
+        texts.append(["q1", "q2", *body, "q3"])
+        pairs.append((k, k))
+    want = {(k, k) for k, _ in pairs if brute_leak(texts[k], items[k])}
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    d = docs(spark, [" ".join(t) for t in texts])
+    got = {tuple(r) for r in leak.find(d, it).collect()}
+    assert {(a, b) for a, b in got if a == b} == want and 50 < len(want) < 150
+    others = [(a, b) for a, b in got if a != b]
+    assert all(brute_leak(texts[a], items[b]) for a, b in others)
+    narrow = {tuple(r) for r in leak.find(d, it, gaps=(0,)).collect()}
+    assert narrow < got  # the ignored word earns its place
+
+
+def test_join_paths_agree(spark, monkeypatch):
+    base = [f"w{i}" for i in range(40)]
+    d = docs(spark, [" ".join(base)] * 50 + ["a " + " ".join(base[5:25]), None, "", "w1"])
+    it = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[10:30])), (3, None)], "item_id long, text string")
+    few = sorted(map(tuple, leak.find(d, it).collect()))
+    monkeypatch.setattr(leak, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, leak.find(d, it).collect())) == few == sorted([(i, j) for i in range(51) for j in (1, 2)])
+    assert leak.find(d.filter("false"), it).count() == 0 == leak.find(d, it.filter("false")).count()
