@@ -115,6 +115,22 @@ def p9_shares(spark, d):
     return _mix(spark, d)[1]
 
 
+def _char_mix(spark, d):
+    """The same mix with sizes in characters, which SQL can count."""
+    return mixing.mix(documents(spark, d, "text", "source"), table(spark, d, "source_target"), size=F.length("text"))
+
+
+@q
+def p9_char_mix(spark, d):
+    return _char_mix(spark, d)[0].withColumnRenamed("n_tokens", "n_chars")
+
+
+@q
+def p9_char_shares(spark, d):
+    s = _char_mix(spark, d)[1]
+    return s.select("source", "n_docs", "clamped", "n_copies", F.col("n_tokens_source").alias("n_chars_source"), F.col("n_tokens_used").alias("n_chars_used"), *[F.round(c, 6).alias(c) for c in ("target_share", "max_repeat", "repeat", "reached_share")])
+
+
 def _subjects(spark, d):
     return subjects.assign(documents(spark, d), table(spark, d, "subject_label"), table(spark, d, "subject_area"), table(spark, d, "lang_sample"))
 
@@ -160,6 +176,24 @@ SQL["p5_found"] = f"WITH t AS (SELECT doc_id, text, {_form('text')} AS form FROM
 SQL["p5_canonical"] = _CLASSES + " SELECT doc_id, class_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, id) AS n_links, id <> class_id AS changed, class_id AS canonical_md5 FROM t JOIN c USING (form)"
 
 
+# the level by position in the order of cap / weight: that of the first source which it does not put over its cap
+_MIX = """WITH d AS (SELECT doc_id, lower(trim(source, ' ')) AS source, coalesce(length(text), 0) AS n_chars FROM documents),
+t AS (SELECT lower(trim(source, ' ')) AS source, sum(target_share) AS w, max(max_repeat) AS cap FROM source_target WHERE source IS NOT NULL GROUP BY 1),
+h AS (SELECT source, sum(n_chars) AS n, count(*) AS n_docs FROM d GROUP BY 1),
+s AS (SELECT coalesce(t.source, h.source) AS source, coalesce(w, 0) AS w, coalesce(n, 0) AS n, coalesce(n_docs, 0) AS n_docs, coalesce(cap, 0) AS cap FROM t FULL JOIN h USING (source)),
+o AS (SELECT *, n * cap AS most, sum(n) OVER () AS total, sum(w) OVER () AS all_w, coalesce(sum(n * cap) OVER b, 0) AS kept, coalesce(sum(w) OVER b, 0) AS gone
+  FROM s WHERE w > 0 AND cap > 0 AND n > 0 WINDOW b AS (ORDER BY n * cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((total - kept) / (all_w - gone), most / w) FILTER (WHERE (total - kept) / (all_w - gone) * w <= most + 1e-9) AS level FROM o),
+p AS (SELECT s.*, CASE WHEN w > 0 AND cap > 0 AND n > 0 THEN level IS NULL OR level * w > n * cap + 1e-9 ELSE false END AS clamped, CASE WHEN NOT (w > 0 AND cap > 0 AND n > 0) THEN 0 WHEN level IS NULL OR level * w > n * cap + 1e-9 THEN cap ELSE level * w / n END AS repeat FROM s, l),
+u AS (SELECT doc_id, source, n_chars, CAST(floor(repeat) + CASE WHEN CAST('0x' || substr(md5('7|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 < repeat - floor(repeat) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM d JOIN p USING (source))"""
+SQL["p9_char_mix"] = _MIX + " SELECT * FROM u WHERE copies > 0"
+SQL["p9_char_shares"] = (
+    _MIX
+    + """, g AS (SELECT source, sum(n_chars * copies) AS used, sum(copies) AS n_copies FROM u GROUP BY 1)
+SELECT p.source, n_docs, clamped, CAST(coalesce(n_copies, 0) AS BIGINT) AS n_copies, CAST(n AS BIGINT) AS n_chars_source, CAST(coalesce(used, 0) AS BIGINT) AS n_chars_used, round(CAST(w AS DOUBLE), 6) AS target_share, round(CAST(cap AS DOUBLE), 6) AS max_repeat, round(CAST(repeat AS DOUBLE), 6) AS repeat, round(coalesce(used, 0) / sum(used) OVER (), 6) AS reached_share FROM p LEFT JOIN g USING (source)"""
+)
+
+
 def queries() -> dict:
     return dict(Q)
 

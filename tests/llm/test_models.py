@@ -102,20 +102,27 @@ def test_toxic_model(spark):
     assert toxic.flagged(toxic.significance(s.drop('p_value'), toxic.calibrate(s, none)), none).count() == 0
 
 
-def test_water_filling():
-    f = {x.source: x for x in mixing.water_fill({"a": 100, "b": 900, "c": 10}, {"a": (0.5, 2), "b": (0.4, 1), "c": (0.05, 5), "d": (0.05, 3)}, 800)}
-    assert f["a"].clamped and f["a"].repeat == 2 and f["c"].repeat <= 5 and f["d"].repeat == 0
-    assert sum(x.size * x.repeat for x in f.values()) == pytest.approx(800)
-    rng = random.Random(5)
+def brute_fill(rows, total):
+    """Level by bisection: sum min(level * weight, size * cap) = total over the sources that can be used."""
+    live = [r for r in rows if r[1] > 0 and r[2] > 0 and r[3] > 0]
+    lo, hi = 0.0, 1e9
     for _ in range(200):
-        sizes = {s: rng.randrange(0, 1000) for s in "abcdef"}
-        targets = {s: (rng.random(), rng.randrange(1, 5)) for s in "abcdef"}
-        fills = mixing.water_fill(sizes, targets)
-        total, room = sum(v for s, v in sizes.items()), sum(sizes[s] * targets[s][1] for s in sizes)
-        assert all(0 <= x.repeat <= x.cap + 1e-9 for x in fills)
-        assert sum(x.size * x.repeat for x in fills) == pytest.approx(min(total, room))
-        free = [x.size * x.repeat / x.target for x in fills if x.size and not x.clamped]
-        assert not free or max(free) == pytest.approx(min(free))  # the rest is in proportion
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(mid * w, n * c) for _, w, n, c in live) < total else (lo, mid)
+    return {r[0]: (min(hi * r[1], r[2] * r[3]) / r[2] if r in live else 0.0) for r in rows}
+
+
+def test_water_filling(spark):
+    rng = random.Random(5)
+    for k in range(12):
+        rows = [(s, rng.choice([0.0, rng.random(), rng.random()]), rng.randrange(0, 1000), float(rng.randrange(0, 5))) for s in "abcdefgh"]
+        total = None if k % 3 else rng.randrange(1, 4000)
+        df = spark.createDataFrame(rows, "source string, target_share double, n_size long, max_repeat double")
+        got = {r.source: r for r in mixing.fill(df, total).collect()}
+        live = [r for r in rows if r[1] > 0 and r[2] > 0 and r[3] > 0]
+        want = brute_fill(rows, sum(r[2] for r in live) if total is None else total)
+        assert all(got[s].repeat == pytest.approx(want[s], abs=1e-6) for s in want)
+        assert all(not r.clamped or r.repeat == r.max_repeat for r in got.values())
 
 
 def test_mix(spark):
@@ -127,7 +134,9 @@ def test_mix(spark):
     assert s["a"].reached_share == pytest.approx(0.7 / 0.9, abs=0.03) and s["none"].n_tokens_used == 0
     assert chosen.filter("source = 'b' and copies > 1").count() == 0 and chosen.agg(F.max("copies")).first()[0] <= 3
     assert sorted(chosen.collect()) == sorted(mixing.mix(d, t)[0].collect())
-    assert mixing.mix(d.filter("false"), t)[0].count() == 0
+    assert (s[None].n_docs, s["zzz"].n_docs, s[None].reached_share, s["zzz"].n_tokens_used) == (400, 400, 0, 0) and s[None].n_tokens_source > 0
+    assert sum(r.n_docs for r in s.values()) == 2001  # no document is missing from the report
+    assert mixing.mix(d.filter("false"), t)[0].count() == 0 == mixing.mix(d, t.filter("false"))[0].count()
 
 
 def test_topic_mapping():
