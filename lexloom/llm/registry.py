@@ -70,13 +70,14 @@ def _toxic(spark, d):
     docs = documents(spark, d, "text", "source")
     model = toxic.train(docs, table(spark, d, "review_label"))
     scored = cut(toxic.scan(docs.withColumn("source", F.lower(F.trim("source"))), model, carry=("source",)))
-    return model, toxic.significance(scored, toxic.calibrate(scored, model))
+    law = toxic.calibrate(scored, model)
+    return law, toxic.significance(scored, law)
 
 
 @q
 def p7_found(spark, d):
-    model, scored = _toxic(spark, d)
-    return toxic.flagged(scored, model).select("doc_id", "category").distinct()
+    law, scored = _toxic(spark, d)
+    return toxic.flagged(scored, law).select("doc_id", "category").distinct()
 
 
 @q
@@ -86,8 +87,8 @@ def p7_scores(spark, d):
 
 @q
 def p7_rates(spark, d):
-    model, scored = _toxic(spark, d)
-    return toxic.rates(scored, model)
+    law, scored = _toxic(spark, d)
+    return toxic.rates(scored, law)
 
 
 @q

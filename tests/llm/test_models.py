@@ -89,17 +89,20 @@ def test_toxic_model(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     m = toxic.train(d, spark.createDataFrame(labels, "doc_id long, annotator string, category string"))
     s = toxic.scan(d, m, carry=("source",))
-    s = toxic.significance(s, toxic.calibrate(s, m)).cache()
-    got = {r.doc_id for r in toxic.flagged(s, m).filter("category = 'abusive'").collect()}
+    law = toxic.calibrate(s, m)
+    s = toxic.significance(s, law).cache()
+    for r in s.filter("size(nets) > 0").collect():
+        assert r.log_p == pytest.approx(toxic.log_p(r.nets, r.n_tokens, law.rate[r.category], law.k[r.category]), rel=1e-6, abs=1e-9)
+    got = {r.doc_id for r in toxic.flagged(s, law).filter("category = 'abusive'").collect()}
     want = {i for i in range(400) if i % 8 == 0}
     assert len(got & want) / len(want) > 0.9 and len(got & want) / max(1, len(got)) > 0.8
     assert s.count() == 3 * len(rows) and s.filter("doc_id >= 900 and score > 0").count() == 0
-    assert toxic.rates(s, m).filter("source is null").count() == 3
+    assert toxic.rates(s, law).filter("source is null").count() == 3
     hist = {-5: 80, 10: 20}
     x = toxic.decay(hist)
     assert sum(c / 100 * math.exp(x * k / toxic.BINS) for k, c in hist.items()) == pytest.approx(1)
     none = toxic.train(d, spark.createDataFrame([], "doc_id long, annotator string, category string"))
-    assert toxic.flagged(toxic.significance(s.drop('p_value'), toxic.calibrate(s, none)), none).count() == 0
+    assert toxic.flagged(s, toxic.calibrate(s, none)).count() == 0
 
 
 def brute_fill(rows, total):
@@ -231,10 +234,17 @@ def test_every_passage_is_judged(spark):
     plain_ = "the red kettle was fine today"
     texts = [f"he reported moron here. {plain_}. you fool", f"he reported moron here. {plain_}", "you fool. " + plain_, "you fool. " + plain_ + ". you fool", plain_]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    law = toxic.Law({c: 2.0 for c in toxic.CATEGORIES}, {c: 0.1 for c in toxic.CATEGORIES})
+    law = toxic.Law({c: 2.0 for c in toxic.CATEGORIES}, {c: 0.1 for c in toxic.CATEGORIES}, {c: -4.0 for c in toxic.CATEGORIES})
     s = toxic.significance(toxic.scan(d, m), law).filter("category = 'abusive'").cache()
     r = {x.doc_id: x for x in s.collect()}
-    assert {x.doc_id for x in toxic.flagged(s, m).collect()} == {0, 2, 3}  # the highest passage of 0 is a report, its insult stands lower
-    assert r[0].passage == "fool" and r[1].standing == [] and len(r[3].standing) == 2
-    one = 1 - math.exp(-0.1 * r[3].n_tokens * math.exp(-2 * r[3].score))
+    assert {x.doc_id for x in toxic.flagged(s, law).collect()} == {0, 2, 3}  # the highest passage of 0 is a report, its insult stands lower
+    assert r[0].passage == "fool" and r[1].net < 0 and len(r[3].nets) == 2
+    one = 1 - math.exp(-0.1 * r[3].n_tokens * math.exp(-2 * r[3].net))
     assert 0 < r[3].p_value < one and r[2].p_value < 0.05 and r[4].p_value == 1
+
+
+def test_calibration_decides():
+    """Of two texts with one sum, the longer is less significant; a level between them parts them."""
+    short, long_ = (toxic.log_p([5.0], n, 1.0, 0.01) for n in (10, 1000))
+    assert short < -6 < long_ and toxic.log_p([5.0, 4.8], 10, 1.0, 0.01) < short
+    assert toxic.log_p([], 10, 1.0, 0.01) == 0.0 == toxic.log_p([5.0], 0, 1.0, 0.01)
