@@ -6,8 +6,9 @@ content agree. A document is a mixture: expectation-maximisation estimates its
 language proportions from the words' likelihoods, and languages are added to its
 set while the penalised likelihood rises, or for the gain of one run of words
 over the best path so far, whatever the length of the text. Words are then assigned by the best
-path with a cost per switch, which gives the segments; the confidence is the
-mean posterior of a segment's words (of a document: its words' for its main language).
+path through the fitted mixture: starts and switches go to a language by its proportion. That
+gives the segments; the confidence is the mean posterior of a segment's words under the
+mixture (of a document: its words' for its main language).
 
 Words exclude hashtags, mentions, links, e-mail addresses and numbers; proper
 names are about equally likely everywhere and join their neighbours. NULL and
@@ -32,6 +33,7 @@ from lexloom.llm import lookalike as L
 SAMPLE = 16_000  #: most labelled documents used for the fit
 ORDER, LEAST_WORDS = 5, 4
 SWITCH, PENALTY, LOCAL = 9.0, 6.0, 9.0  #: LOCAL: what a run must gain over its two switches
+OTHERS = 0.05  #: share of the mixture that the languages not chosen keep
 _INV = {ord(c): None for c in L.INVISIBLE}
 _BASE = _INV | {ord(a): b for a, b in zip(L.BLANKS + L.HYPHENS + L.FULL, " " * len(L.BLANKS) + "-" * len(L.HYPHENS) + L.FULL_AS)} | {ord(a): b for a, b in L.LIGATURES} | {ord("’"): "'"}
 _TO_LATIN = {ord(a): b for a, b in zip(L.CYRILLIC + L.GREEK, L.AS_LATIN + L.GREEK_AS_LATIN)}
@@ -186,17 +188,17 @@ def mixture(ll: np.ndarray, rounds: int = 12, penalty: float = PENALTY) -> tuple
 
 
 def path(ll: np.ndarray, chosen: list[int], p: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best language of each word, with a cost per switch."""
-    x = ll[:, chosen] + 0.0 * np.log(p.clip(1e-6))
+    """Best language of each word: a text starts in, and a switch goes to, a language with its proportion ``p``; each switch costs ``switch`` besides."""
+    x = ll[:, chosen]
+    into = np.log(p.clip(1e-3))
     n, k = x.shape
     back = np.zeros((n, k), dtype=np.int64)
-    cur = x[0].copy()
+    cur = x[0] + into
     for i in range(1, n):
         j = int(cur.argmax())
-        stay = cur
-        jump = cur[j] - switch
-        back[i] = np.where(stay >= jump, np.arange(k), j)
-        cur = np.maximum(stay, jump) + x[i]
+        jump = cur[j] - switch + into
+        back[i] = np.where(cur >= jump, np.arange(k), j)
+        cur = np.maximum(cur, jump) + x[i]
     out = np.zeros(n, dtype=np.int64)
     out[-1] = int(cur.argmax())
     for i in range(n - 1, 0, -1):
@@ -204,6 +206,14 @@ def path(ll: np.ndarray, chosen: list[int], p: np.ndarray, switch: float = SWITC
     return np.array(chosen)[out]
 
 
+def posterior(ll: np.ndarray, chosen: list[int], p: np.ndarray) -> np.ndarray:
+    """Posterior of each word's language under the fitted mixture; all languages together keep a share of OTHERS."""
+    q = np.full(ll.shape[1], OTHERS / ll.shape[1])
+    q[chosen] += (1 - OTHERS) * p
+    post = np.exp(ll - ll.max(axis=1, keepdims=True)) * q
+    return post / post.sum(axis=1, keepdims=True)
+
+
 def runs_of_others(ll: np.ndarray, chosen: list[int], local: float = LOCAL) -> list[int]:
     """``chosen`` and the languages of which a run of LEAST_WORDS or more words gains over the best path more than its two switches and ``local`` cost.
 
@@ -252,8 +262,7 @@ def analyse(text: str | None, m: Model) -> tuple[str | None, float, list[tuple[s
     if len(more) > len(chosen):
         chosen, p = more, proportions(ll, more)
     lang = path(ll, chosen, p)
-    post = np.exp(ll - ll.max(axis=1, keepdims=True))
-    post /= post.sum(axis=1, keepdims=True)
+    post = posterior(ll, chosen, p)
     runs: list[list[int]] = []
     for i, x in enumerate(lang):
         if runs and runs[-1][0] == x:
@@ -280,16 +289,21 @@ def label_code(c: Column) -> Column:
 
 def train(samples: DataFrame, docs: DataFrame | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> Model:
     """Model from clean sentences (lang, text) and at most ``most`` labelled documents that agree with it, spread over the languages."""
-    rows = [(r[0], words(r[1])) for r in samples.select("lang", "text").filter("lang is not null and text is not null").limit(most).collect()]
+    from pyspark.sql import Window as W
+
+    def sample(d: DataFrame, by: str, n: int, *order: Column | str) -> DataFrame:
+        return d.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("r") <= n)
+
+    clean = samples.select("lang", "text").filter("lang is not null and text is not null")
+    k = max(1, clean.select("lang").distinct().count())
+    rows = [(r[0], words(r[1])) for r in sample(clean, "lang", max(1, most // k), F.xxhash64("text"), "text").select("lang", "text").collect()]
     langs = tuple(sorted({r[0] for r in rows}))
     m = fit(sorted(rows), langs)
     if docs is None or not langs:
         return m
-    from pyspark.sql import Window as W
-
     code = label_code(F.col(lang))
     d = docs.select(key, F.col(text).alias("t"), code.alias("l")).filter(F.col("l").isin(*langs) & F.col("t").isNotNull())
-    d = d.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64(key), key))).filter(F.col("r") <= max(1, most // len(langs)))
+    d = sample(d, "l", max(1, most // len(langs)), F.xxhash64(key), key)
     extra = []
     for r in sorted(d.select("l", "t").collect()):
         got, _, segs, _ = analyse(r.t, m)
