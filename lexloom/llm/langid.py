@@ -32,7 +32,7 @@ from lexloom.llm import lookalike as L
 
 SAMPLE = 16_000  #: most labelled documents used for the fit
 ORDER, LEAST_WORDS = 5, 4
-SWITCH, PENALTY, LOCAL = 9.0, 6.0, 9.0  #: LOCAL: what a run must gain over its two switches
+SWITCH, PENALTY, LOCAL = 8.0, 6.0, 11.0  #: LOCAL: what a run must gain over its two switches
 OTHERS = 0.05  #: share of the mixture that the languages not chosen keep
 _INV = {ord(c): None for c in L.INVISIBLE}
 _BASE = _INV | {ord(a): b for a, b in zip(L.BLANKS + L.HYPHENS + L.FULL, " " * len(L.BLANKS) + "-" * len(L.HYPHENS) + L.FULL_AS)} | {ord(a): b for a, b in L.LIGATURES} | {ord("’"): "'"}
@@ -222,7 +222,7 @@ def runs_of_others(ll: np.ndarray, chosen: list[int], local: float = LOCAL) -> l
     chosen = list(chosen)
     n = len(ll)
     while n >= LEAST_WORDS and len(chosen) < ll.shape[1]:
-        have = ll[np.arange(n), path(ll, chosen, np.full(len(chosen), 1.0 / len(chosen)))]
+        have = ll[np.arange(n), path(ll, chosen, np.ones(len(chosen)))]
         top, add = 2 * SWITCH + local, None
         for j in range(ll.shape[1]):
             d = ll[:, j] - have
