@@ -5,11 +5,16 @@ addresses, on a copy of the text in which look-alike characters are plain and
 whose positions map back to the original. Names are a known given name or
 initial with a known family name; as name lists are incomplete, they are
 extended from the corpus: a word that stands beside known names in most of its
-occurrences, with several different partners, is a name (all documents are
-counted, with partial counts in each task, and only accepted words reach the
-driver, with a checked bound). Known given names that are mostly used as common
+occurrences, with several different partners, is a name. All documents are read
+once for this: their words and word pairs are counted, with partial counts in each task, and the
+rounds of learning join these counts with the growing list. Known given names that are mostly used as common
 words need a known family name beside them and never serve as evidence.
 
+``protect`` finds the pieces of a row and makes their placeholders in one pass: numbers become
+another number of their format by a keyed Feistel permutation (``formats``), valid if they are
+valid, so equal values stay linked; e-mail addresses, streets and names carry a keyed tag of 96 bits.
+Dates are left alone unless ``dates`` is set, which permutes ISO dates from 1900 to 2099.
+
 NULL and empty texts hold nothing; NULL stays NULL when redacting. Repeated
 documents are all reported. Overlapping finds are resolved in the order e-mail,
 identity number, phone, street, name, so each character belongs to one piece.
@@ -22,15 +27,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import formats
 from lexloom.llm import lookalike as L
-from lexloom.llm.feistel import permute_text
+from lexloom.llm.feistel import permute_date
+from lexloom.session import cut
 
-MAX_WORDS = 500_000
+MAX_WORDS = 500_000  #: most name words that travel with the tasks; beyond it each document is joined with those it holds
+BROADCAST_ROWS = 500_000  #: most name words that are broadcast to the counts of pairs; beyond it the join shuffles
 _TR: dict[int, str | None] = {ord(a): b for a, b in zip(L.FROM, L.TO)} | {ord(c): None for c in L.INVISIBLE} | {ord(a): b for a, b in L.LIGATURES} | {ord("’"): "'"}
 del _TR[ord("ё")], _TR[ord("Ё")]
 
@@ -91,6 +100,7 @@ WORD = re.compile(_W)
 _PAIR = re.compile(rf"(?=(?<![\w@#'.+-])({_W}|[^\W\d_]\.)( |\n|, )(?:([^\W\d_]\.) )?({_W})(?![\w@+]|[._-]\w))")
 _GIVEN_NEXT = re.compile(rf", ({_W})")
 _LOCAL = re.compile(r"(?<![\w.])([a-z]{2,})[._]([a-z']{2,})\d*\s?(?:@|\(at\)|\[at\]| at )", re.I)
+_DATE = re.compile(r"(?<![\w./-])(19\d\d|20\d\d)-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?![\w/-]|\.\d)")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z']+")
 
 
@@ -112,25 +122,10 @@ def _street_ok(m: re.Match, streets: frozenset[str]) -> bool:
     return name[0].isupper() or _key(name) in streets or m["de"] is not None
 
 
-def _count_pair(c: Counter, a: str, b: str, caps: bool, given: frozenset[str], family: frozenset[str], common: frozenset[str]) -> None:
-    if a.endswith("."):
-        c["f", b, a] += 1
-        return
-    if a in given and a not in common:
-        c["f", b, a] += 1
-        if caps:
-            c["F", b, a] += 1
-    if b in family:
-        c["g", a, b] += 1
-        if caps:
-            c["G", a, b] += 1
-
-
-def count_evidence(texts: Iterator[str | None], given: frozenset[str], family: frozenset[str], common: frozenset[str]) -> Counter:
-    """Counts keyed by (role, word, partner).
+def count_evidence(texts: Iterator[str | None]) -> Counter:
+    """Counts keyed by (role, word, partner, next, caps).
 
-    Roles: t total; f, g beside a known given, family name; F, G the same with both capitalised;
-    c as family name in the form ``Family, Given``; s as street name.
+    Roles: t a word; p a pair, m a pair around an initial; c a pair ``word, partner``; s a street name. next is the word after ``word partner,``.
     """
     c: Counter = Counter()
     for text in texts:
@@ -139,76 +134,98 @@ def count_evidence(texts: Iterator[str | None], given: frozenset[str], family: f
         s, _ = plain(text)
         low = s.lower()
         for w in WORD.findall(low):
-            c["t", w, ""] += 1
+            c["t", w, "", "", False] += 1
         for m in _LOCAL.finditer(low):
-            _count_pair(c, m[1], m[2], False, given, family, common)
+            c["p", m[1], m[2], "", False] += 1
         for m in _PAIR.finditer(low):
             if m[2] == ", ":
-                if m[4] in given and m[4] not in common:
-                    c["c", m[1], m[4]] += 1
-                if m[1] in family:
-                    c["g", m[4], m[1]] += 1
-            elif not ((n := _GIVEN_NEXT.match(low, m.end(4))) and n[1] in given and m[4] in family):
+                c["c", m[1], m[4], "", False] += 1
+            else:
+                n = _GIVEN_NEXT.match(low, m.end(4))
                 caps = s[m.start(1)].isupper() and s[m.start(4)].isupper() and not s[m.start(1) : m.end(4)].isupper()
-                _count_pair(c, m[1], m[4], caps, given, family if not m[3] else frozenset(), common)
+                c["m" if m[3] else "p", m[1], m[4], n[1] if n else "", caps] += 1
         for m in STREET.finditer(s):
             if name := m["en"]:
-                c["s", _key(name), ""] += 1
+                c["s", _key(name), "", "", False] += 1
     return c
 
 
-def learn_names(docs: DataFrame, names: DataFrame, text: str = "text", rounds: int = 2, share: float = 0.5, weak: float = 0.04, partners: int = 2) -> Names:
-    """The name list extended from all documents.
+_FLAGS = ("given", "family", "base", "common", "near", "street")
+
+
+def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(role, word, partner, next, caps, n) over all documents, written once."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["role", "word", "partner", "next", "caps"]
+        total: Counter = Counter()
+        for b in batches:
+            total.update(count_evidence(iter(b["t"])))
+            if len(total) > 300_000:
+                yield pd.DataFrame([(*x, n) for x, n in total.items()], columns=[*cols, "n"])
+                total = Counter()
+        yield pd.DataFrame([(*x, n) for x, n in total.items()], columns=[*cols, "n"])
+
+    e = docs.select(F.col(text).alias("t")).mapInPandas(count, "role string, word string, partner string, next string, caps boolean, n long")
+    return cut(e.groupBy("role", "word", "partner", "next", "caps").agg(F.sum("n").alias("n")))
+
+
+def learn(docs: DataFrame, names: DataFrame, text: str = "text", rounds: int = 2, share: float = 0.5, weak: float = 0.04, partners: int = 2) -> DataFrame:
+    """The name list extended from all documents: word, given, family, base (given in ``names``), common, near, street.
 
     A word becomes a family (given) name if at least ``share`` of its occurrences stand beside
     a known given (family) name, with ``partners`` different ones; or all occurrences do and any is capitalised. Initials alone
     are no evidence. A word with a share of ``weak`` or more counts as a given name directly before
-    a known family name only.
+    a known family name only (near).
     """
-    rows = names.select(F.lower("name"), "kind").filter("name is not null").limit(MAX_WORDS + 1).collect()
-    if len(rows) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} names")
-    given, family = (frozenset(r[0] for r in rows if r[1] == k) for k in ("given", "family"))
-    base = given
-    common: frozenset[str] = frozenset()
-    streets: frozenset[str] = frozenset()
-    near: frozenset[str] = frozenset()
+    e = evidence(docs, text)
+    start = names.filter("name is not null").groupBy(F.lower("name").alias("word")).agg(F.bool_or(F.col("kind") == "given").alias("given"), F.bool_or(F.col("kind") == "family").alias("family"))
+    no = F.lit(False)
+    known = cut(start.select("word", F.coalesce("given", no).alias("given"), F.coalesce("family", no).alias("family"), F.coalesce("given", no).alias("base"), no.alias("common"), no.alias("near"), no.alias("street")))
     for _ in range(rounds + 1):
-
-        def count(batches: Iterator[pd.DataFrame], g=given, f=family, cm=common) -> Iterator[pd.DataFrame]:
-            total: Counter = Counter()
-            for b in batches:
-                total.update(count_evidence(iter(b["t"]), g, f, cm))
-                if len(total) > 300_000:
-                    yield pd.DataFrame([(*x, n) for x, n in total.items()], columns=["role", "word", "partner", "n"])
-                    total = Counter()
-            yield pd.DataFrame([(*x, n) for x, n in total.items()], columns=["role", "word", "partner", "n"])
-
-        e = docs.select(F.col(text).alias("t")).mapInPandas(count, "role string, word string, partner string, n long").groupBy("role", "word", "partner").agg(F.sum("n").alias("n"))
-        initial = F.col("partner").endswith(".")
-        w = e.groupBy("word").agg(
-            F.sum(F.when(F.col("role") == "t", F.col("n"))).alias("total"),
-            *[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, r in enumerate("fgFGcs")],
-            *[F.count_if((F.col("role") == r) & ~initial).alias(f"p{r}") for r in "fg"],
-        )
-        w = w.select("word", "total", F.col("n0").alias("f"), F.col("n1").alias("g"), F.col("n2").alias("f_caps"), F.col("n3").alias("g_caps"), F.col("n4").alias("comma"), F.col("n5").alias("s"), "pf", "pg")
-        w = w.filter((F.length("word") > 1) & (F.col("total") > 0))
+        few = known.count() <= BROADCAST_ROWS
+        side = lambda c: (lambda k: F.broadcast(k) if few else k)(known.select(F.col("word").alias(c), F.struct("given", "family", "common").alias(f"_{c}")))  # noqa: B023, E731
+        j = e.join(side("word"), "word", "left").join(side("partner"), "partner", "left").join(side("next"), "next", "left")
+        is_ = lambda c, f: F.coalesce(F.col(f"_{c}.{f}"), F.lit(False))
+        role, initial = F.col("role"), F.col("word").endswith(".")
+        sure = lambda c: is_(c, "given") & ~is_(c, "common")
+        pair = role.isin("p", "m") & ~(is_("next", "given") & is_("partner", "family"))
+        about = lambda cond, w, r, p: F.when(cond, F.struct(F.col(w).alias("word"), F.lit(r).alias("role"), F.col(p).alias("partner")))
+        got = F.array(
+            about(role == "t", "word", "t", "partner"), about(role == "s", "word", "s", "partner"),
+            about(pair & (initial | sure("word")), "partner", "f", "word"), about(pair & ~initial & sure("word") & F.col("caps"), "partner", "F", "word"),
+            about(pair & ~initial & (role == "p") & is_("partner", "family"), "word", "g", "partner"), about(pair & ~initial & (role == "p") & is_("partner", "family") & F.col("caps"), "word", "G", "partner"),
+            about((role == "c") & sure("partner"), "word", "c", "partner"), about((role == "c") & is_("word", "family"), "partner", "g", "word"),
+        )
+        c = j.select("n", F.explode(F.filter(got, lambda x: x.isNotNull())).alias("x")).groupBy("x.word", "x.role", "x.partner").agg(F.sum("n").alias("n"))
+        num = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0))
+        w = c.groupBy("word").agg(
+            num("t").alias("total"), num("f").alias("f"), num("F").alias("f_caps"), num("g").alias("g"), num("G").alias("g_caps"), num("c").alias("comma"), num("s").alias("s"),
+            *[F.count_if((F.col("role") == r) & ~F.col("partner").endswith(".")).alias(f"p{r}") for r in "fg"],
+        ).filter((F.length("word") > 1) & (F.col("total") > 0))
         all_f, all_g = F.col("f") + F.col("comma"), F.col("g")
         is_f = ((F.col("pf") >= partners) & (all_f >= share * F.col("total"))) | ((F.col("f_caps") > 0) & (F.col("pf") > 0) & (all_f >= F.col("total")) & (F.col("total") <= 3 * F.col("pf")))
         is_g = ((F.col("pg") >= partners) & (all_g >= share * F.col("total"))) | ((F.col("g_caps") > 0) & (all_g >= F.col("total")) & (F.col("total") <= 3 * F.col("pg")))
         is_weak = (F.col("pg") >= partners) & (all_g >= weak * F.col("total"))
         is_s = (F.col("s") >= 2) & (F.col("s") >= share * F.col("total"))
-        known = F.col("word").isin(*base) if base else F.lit(False)
-        w = w.select("word", "total", "g", is_f.alias("is_f"), is_g.alias("is_g"), is_weak.alias("is_weak"), is_s.alias("is_s"))
-        found = w.filter(F.col("is_f") | F.col("is_g") | F.col("is_weak") | F.col("is_s") | known).limit(MAX_WORDS + 1).collect()
-        if len(found) > MAX_WORDS:
-            raise ValueError(f"more than {MAX_WORDS} name words: raise share or partners")
-        common = frozenset(r.word for r in found if r.word in base and r.total >= 5 and r.g < 0.15 * r.total)
-        family |= {r.word for r in found if r.is_f and r.word not in base}
-        given |= {r.word for r in found if r.is_g and r.word not in family}
-        near = frozenset(r.word for r in found if r.is_weak and r.word not in given and r.word not in family)
-        streets = frozenset(r.word for r in found if r.is_s)
-    return Names(given, family, common, streets, near)
+        w = w.select("word", F.col("total").alias("_n"), F.col("g").alias("_ng"), is_f.alias("_f"), is_g.alias("_g"), is_weak.alias("_w"), is_s.alias("_s"))
+        k = known.join(w, "word", "full").select("word", *[F.coalesce(x, no).alias(x) for x in (*_FLAGS, "_f", "_g", "_w", "_s")], "_n", "_ng")
+        k = k.withColumn("family", F.col("family") | (F.col("_f") & ~F.col("base")))
+        k = k.withColumn("given", F.col("given") | (F.col("_g") & ~F.col("family")))
+        k = k.withColumn("common", F.coalesce(F.col("base") & (F.col("_n") >= 5) & (F.col("_ng") < 0.15 * F.col("_n")), no)).withColumn("near", F.col("_w") & ~F.col("given") & ~F.col("family")).withColumn("street", F.col("_s"))
+        known = cut(k.filter("given or family or near or street").select("word", *_FLAGS))
+    return known
+
+
+def _as_names(rows: list) -> Names:
+    pick = lambda f: frozenset(r["word"] for r in rows if r[f])
+    return Names(pick("given"), pick("family"), pick("common"), pick("street"), pick("near"))
+
+
+def learn_names(docs: DataFrame, names: DataFrame, text: str = "text", **kw: float) -> Names | DataFrame:
+    """The extended name list on the driver if it has at most MAX_WORDS words, else as a table, which ``protect`` joins."""
+    known = learn(docs, names, text, **kw)  # type: ignore[arg-type]
+    return _as_names(known.collect()) if known.count() <= MAX_WORDS else known
 
 
 def find(text: str | None, names: Names, field: str = "text") -> list[tuple[str, int, int]]:
@@ -284,46 +301,97 @@ def _handle_kind(s: str, names: Names) -> str | None:
     return None
 
 
-def pieces(docs: DataFrame, names: Names, key: str = "doc_id", fields: tuple[str, ...] = ("text", "screen_name")) -> DataFrame:
-    """(key, field_name, kind, piece), distinct. The names travel with the task closure; their number is checked when learnt."""
-
-    @F.pandas_udf("array<struct<field_name:string,kind:string,piece:string>>")
-    def udf(*cols: pd.Series) -> pd.Series:
-        out = []
-        for vals in zip(*cols):
-            out.append([{"field_name": f, "kind": k, "piece": v[a:b]} for f, v in zip(fields, vals) for k, a, b in find(v, names, f)])
-        return pd.Series(out)
-
-    return docs.select(key, F.inline(F.array_distinct(udf(*fields)))).distinct()
-
-
 def replacement(kind: str, piece: str, secret: bytes) -> str:
     """A typed placeholder. Numbers are permuted within their format; other kinds carry a keyed tag, so equal values stay linked."""
-    if kind in ("phone", "id_number") and any(c.isdigit() for c in piece):
-        p, _ = plain(piece)
-        return f"[{kind.upper()} {permute_text(p, secret)}]"
-    tag = hashlib.blake2b(" ".join(re.findall(r"\w+", plain(piece)[0].lower())).encode(), key=secret, digest_size=4).hexdigest()
+    if kind == "date":
+        return f"[DATE {permute_date(date.fromisoformat(piece), secret).isoformat()}]"
+    p, _ = plain(piece)
+    if kind in ("phone", "id_number") and (new := formats.pseudonym(kind, p, secret)):
+        return f"[{kind.upper()} {new}]"
+    tag = hashlib.blake2b(" ".join(re.findall(r"\w+", p.lower())).encode(), key=secret, digest_size=12).hexdigest()
     return f"[{kind.upper()} {tag}]"
 
 
-def redact_text(text: str | None, names: Names, secret: bytes, field: str = "text") -> str | None:
+def _is_date(s: str) -> bool:
+    try:
+        date.fromisoformat(s)
+    except ValueError:
+        return False
+    return True
+
+
+def protect_text(text: str | None, names: Names, secret: bytes, field: str = "text", dates: bool = False) -> tuple[str | None, list[dict]]:
+    """The text with placeholders, and what they stand for: field_name, kind, piece, placeholder and whether a number is valid in its format."""
     if not text:
-        return text
-    out, at = [], 0
-    for k, a, b in find(text, names, field):
-        out += [text[at:a], replacement(k, text[a:b], secret)]
+        return text, []
+    spans = find(text, names, field)
+    if dates:
+        used = [(a, b) for _, a, b in spans]
+        spans = sorted(spans + [("date", *m.span()) for m in _DATE.finditer(text) if _is_date(m[0]) and not any(a < m.end() and m.start() < b for a, b in used)], key=lambda x: x[1])
+    out, got, at = [], [], 0
+    for k, a, b in spans:
+        new = replacement(k, text[a:b], secret)
+        got.append({"field_name": field, "kind": k, "piece": text[a:b], "placeholder": new, "valid": formats.is_valid(k, plain(text[a:b])[0]) if k in ("phone", "id_number") else None})
+        out += [text[at:a], new]
         at = b
-    return "".join(out) + text[at:]
+    return "".join(out) + text[at:], got
+
+
+def redact_text(text: str | None, names: Names, secret: bytes, field: str = "text", dates: bool = False) -> str | None:
+    return protect_text(text, names, secret, field, dates)[0]
+
+
+def _words_of(text: str | None, field: str) -> set[str]:
+    """The words of a text that ``find`` may look up."""
+    if not text:
+        return set()
+    low = plain(text)[0].lower()
+    out = {w for m in _PAIR.finditer(low) for w in (m[1], m[4])} | {w for w in WORD.findall(low)} | set(re.findall(r"[^\W\d_][\w'-]*", low))
+    if field == "screen_name":
+        whole = re.sub(r"[^a-z']", "", low)
+        out |= {p.lower() for x in re.split(r"[._ -]+", text) for p in _PART.findall(x)} | {x for k in range(1, len(whole)) for x in (whole[:k], whole[k:])}
+    return out
+
+
+def _with_own_names(docs: DataFrame, names: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """Adds ``__names``: of the name table the words that the row holds. Rows are joined by word, so no list of names travels."""
+
+    @F.pandas_udf("array<string>")
+    def udf(*cols: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set().union(*[_words_of(v, f) for f, v in zip(fields, vals)])) for vals in zip(*cols)])
 
+    w = docs.select(key, F.explode(udf(*fields)).alias("word")).join(names, "word")
+    own = w.groupBy(key).agg(F.collect_list(F.struct("word", *_FLAGS)).alias("__names"))  # at most the words of one row
+    return docs.join(own, key, "left")
 
-def redact(docs: DataFrame, names: Names, secret: bytes, fields: tuple[str, ...] = ("text", "screen_name")) -> DataFrame:
-    """The documents with every piece replaced; other characters and columns unchanged, nothing shuffled."""
 
-    def of(f: str):
-        @F.pandas_udf("string")
-        def udf(col: pd.Series) -> pd.Series:
-            return col.map(lambda t: redact_text(t, names, secret, f))
+def protect(docs: DataFrame, names: Names | DataFrame, secret: bytes, key: str = "doc_id", fields: tuple[str, ...] = ("text", "screen_name"), dates: bool = False) -> DataFrame:
+    """The documents with every piece replaced in ``fields``, and ``pieces``: what was replaced. Other columns are unchanged.
+
+    One pass; with a list of names nothing is shuffled, with a table of names (a longer list) its words are joined, by a unique ``key``.
+    """
+    cols = list(fields)
+    if isinstance(names, DataFrame):
+        docs, given = _with_own_names(docs, names, key, fields), None
+        cols.append("__names")
+    else:
+        given = names
+    one = "struct<field_name:string,kind:string,piece:string,placeholder:string,valid:boolean>"
+
+    @F.pandas_udf(f"struct<{','.join(f'f{i}:string' for i in range(len(fields)))},pieces:array<{one}>>")
+    def udf(*cols: pd.Series) -> pd.DataFrame:
+        rows = []
+        for vals in zip(*cols):
+            n = given if given is not None else _as_names(list(vals[-1]) if vals[-1] is not None else [])
+            got = [protect_text(v, n, secret, f, dates) for f, v in zip(fields, vals)]
+            rows.append((*[g[0] for g in got], [x for g in got for x in g[1]]))
+        return pd.DataFrame(rows, columns=[*[f"f{i}" for i in range(len(fields))], "pieces"])
+
+    done = docs.select("*", F.explode(F.array(udf(*cols))).alias("__r"))  # the generator keeps the pass from being run once per field
+    return done.select(*[F.col(f"__r.f{fields.index(c)}").alias(c) if c in fields else F.col(c) for c in docs.columns if c != "__names"], F.col("__r.pieces").alias("pieces"))
 
-        return udf(F.col(f))
 
-    return docs.withColumns({f: of(f) for f in fields})
+def pieces(protected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, field_name, kind, piece) of protected documents, distinct."""
+    p = F.transform("pieces", lambda x: F.struct(x["field_name"].alias("field_name"), x["kind"].alias("kind"), x["piece"].alias("piece")))
+    return protected.select(key, F.inline(F.array_distinct(p))).distinct()

@@ -29,14 +29,27 @@ def _names(spark, d):
     return pii.learn_names(documents(spark, d), table(spark, d, "name_list"))
 
 
+SECRET = b"change this key before use"
+
+
+def _protected(spark, d):
+    return pii.protect(documents(spark, d, "text", "screen_name"), _names(spark, d), SECRET)
+
+
 @q
 def p4_found(spark, d):
-    return pii.pieces(documents(spark, d, "text", "screen_name"), _names(spark, d))
+    return pii.pieces(_protected(spark, d))
 
 
 @q
 def p4_redacted(spark, d):
-    return pii.redact(documents(spark, d, "text", "screen_name"), _names(spark, d), b"change this key before use")
+    return _protected(spark, d).drop("pieces")
+
+
+@q
+def p4_placeholders(spark, d):
+    """What stands for what, and whether numbers are valid in their format: the table that links equal values, to be kept secret."""
+    return _protected(spark, d).select(F.inline("pieces")).drop("field_name").groupBy("kind", "piece", "placeholder", "valid").agg(F.count("*").alias("n"))
 
 
 @q

@@ -5,7 +5,7 @@ from datetime import date
 
 import pytest
 
-from lexloom.llm import feistel, pii
+from lexloom.llm import feistel, formats, pii
 
 KEY = b"test key"
 NAMES = pii.Names(frozenset({"tobias", "klara", "will", "hope"}), frozenset({"salmerida", "o'brannock", "vosskamp"}), frozenset({"will", "hope"}), frozenset({"oakfen"}), frozenset({"grace"}))
@@ -77,8 +77,54 @@ def test_names_are_learnt(spark):
     n = spark.createDataFrame([(g, "given") for g in [*given, "Rose"]] + [(f, "family") for f in family] + [(None, "given")], "name string, kind string")
     names = pii.learn_names(d, n)
     assert "newby" in names.family and "zelda" in names.given and "will" in names.common and "survive" not in names.family and "petals" not in names.family
-    got = {tuple(r) for r in pii.pieces(d, names).collect()}
+    done = pii.protect(d, names, KEY)
+    got = {tuple(r) for r in pii.pieces(done).collect()}
     assert (0, "text", "name", "Tobias Newby") in got
-    assert pii.pieces(d.filter("false"), names).count() == 0
-    out = pii.redact(d, names, KEY).collect()
-    assert len(out) == len(texts) and out[0].text.startswith("met [NAME ")
+    assert pii.pieces(pii.protect(d.filter("false"), names, KEY)).count() == 0
+    out = done.orderBy("doc_id").collect()
+    assert len(out) == len(texts) and out[0].text.startswith("met [NAME ") and out[-1].text == "" and out[-2].text is None
+    assert pii.learn_names(d.filter("false"), n.filter("false")) == pii.Names(*[frozenset()] * 5)
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    texts = ["met Tobias Salmerida and T. Vosskamp", "Vosskamp, Klara wrote to bob@host.test", "nothing", None, "", "Tobias Salmerida again"]
+    d = spark.createDataFrame([(i, t, ["klaravosskamp", None, "TobiasSalmerida"][i % 3], i) for i, t in enumerate(texts)], "doc_id long, text string, screen_name string, word int")
+    n = spark.createDataFrame([("Tobias", "given"), ("Klara", "given"), ("Salmerida", "family"), ("Vosskamp", "family")], "name string, kind string")
+    few = pii.protect(d, pii.learn_names(d, n), KEY)
+    monkeypatch.setattr(pii, "MAX_WORDS", 0)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    known = pii.learn_names(d, n)
+    many = pii.protect(d, known, KEY)
+    assert many.columns == few.columns == ["doc_id", "text", "screen_name", "word", "pieces"]
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and pii.pieces(many).count() == 9
+
+
+def test_pseudonyms_stay_valid():
+    rng = random.Random(7)
+    samples = [("phone", "+49 30 1234567"), ("phone", "(415) 555-0142"), ("phone", "001-617-555-0171"), ("phone", "0044 20 7946 0123"), ("phone", "07700 900343"), ("id_number", "123-45-6789"), ("id_number", "AB 12 34 56 C"), ("id_number", "12345678Z"), ("id_number", "x-1234567-l"), ("id_number", "1 84 12 76 451 089 46")]
+    for kind, p in samples:
+        assert formats.is_valid(kind, p), p
+        for _ in range(40):
+            key = rng.randbytes(8)
+            q = formats.pseudonym(kind, p, key)
+            assert formats.is_valid(kind, q) and formats.pseudonym(kind, q, key, back=True) == p and len(q) == len(p)
+            assert all(x.isdigit() == y.isdigit() and x.islower() == y.islower() for x, y in zip(p, q))
+    assert formats.pseudonym("phone", "+49 30 1234567", KEY).startswith("+49 ")
+    for kind, p in (("id_number", "953-00-7091"), ("id_number", "00018144-A"), ("id_number", "9 80 13 99 386 192 61"), ("id_number", "QQ 83 42 58 B"), ("phone", "+83 1234567890")):
+        q = formats.pseudonym(kind, p, KEY)
+        assert not formats.is_valid(kind, p) and not formats.is_valid(kind, q) and formats.pseudonym(kind, q, KEY, back=True) == p
+    q = formats.pseudonym("phone", "five five-five oh one four oh", KEY)
+    assert formats.pseudonym("phone", q, KEY, back=True) == "five five-five oh one four oh" and q.count("-") == 1
+    assert len({formats.pseudonym("phone", f"212-555-01{i:02d}", KEY) for i in range(100)}) == 100  # a permutation
+    same = [formats.pseudonym("phone", p, KEY) for p in ("212-555-0101", "(212) 555 0101")]
+    assert formats.compact(same[0]) == formats.compact(same[1])
+    assert formats.calling_code("441") == 2 and formats.calling_code("1212") == 1 and formats.calling_code("3591") == 3 and formats.calling_code("831") == 0
+
+
+def test_dates_on_request():
+    t = "born 1987-03-12, call +44 20 7946 0123 by 2015-02-30"
+    out, got = pii.protect_text(t, NAMES, KEY, dates=True)
+    assert [g["kind"] for g in got] == ["date", "phone"] and out.startswith("born [DATE ") and "2015-02-30" in out
+    new = date.fromisoformat(got[0]["placeholder"][6:-1])
+    assert feistel.permute_date(new, KEY, back=True) == date(1987, 3, 12)
+    assert "1987-03-12" in pii.redact_text(t, NAMES, KEY)
