@@ -33,7 +33,7 @@ def records(spark, rows):
 
 
 def test_relations(spark):
-    schema, t = RL.relationalize(records(spark, LINES))
+    schema, t = RL.relationalize(records(spark, LINES), keep=("user",))
     assert schema.depth == 2 and {"entities_hashtags", "user", "user_location_codes", "entities_hashtags_indices"} <= set(schema.relations)
     tags = {(r.line_no, r.nest_level, r.ord_no, r.text) for r in t["entities_hashtags"].collect()}
     assert tags == {(1, 0, 0, "a"), (1, 0, 1, " "), (1, 0, 2, "b"), (1, 1, 0, "lone"), (1, 2, 0, "deep"), (9, 0, 0, None), (9, 0, 1, "7")}
@@ -211,3 +211,54 @@ def test_corpus_odd_rows(spark):
     df = spark.createDataFrame([(None, "x y"), (1, None), (1, "a b c d"), (2, "")], "id long, text string")
     assert C.first_per_key(df, "id", ["text"]).count() == 2
     assert C.remove_low_freq(df, "id", "text", 1).count() == 1
+
+
+def _lines(spark, *objects):
+    return records(spark, [(i, json.dumps(o)) for i, o in enumerate(objects)])
+
+
+def test_shared_element_gets_one_table(spark):
+    point = {"lat": 1.5, "lon": 2.5, "name": "x"}
+    schema, t = RL.relationalize(_lines(spark, {"id": 1, "home": {"geo": point, "street": "s"}, "place": {"geo": {"lat": 3.5, "lon": 4.5}}}, {"id": 2, "origin": point, "tags": [{"geo": point, "n": 1}]}))
+    assert set(schema.relations) == {"tweet", "origin", "tags"}
+    rows = sorted((r.parent_key, r.parent_table, r.parent_path, r.lat) for r in t["origin"].collect())
+    assert rows == [("0:0", "tweet", "home.geo", 1.5), ("0:0", "tweet", "place.geo", 3.5), ("1:0", "tweet", "origin", 1.5), ("1:0:0", "tags", "geo", 1.5)]
+    assert len({r.row_key for r in t["origin"].collect()}) == 4
+    assert "home_street" in t["tweet"].columns  # a singleton descendant is inlined
+
+
+def test_several_recursive_keys(spark):
+    def post(i, **kw):
+        return {"id_str": str(i), "text": f"t{i}", "lang": "en", "tags": [{"text": f"h{i}"}]} | kw
+
+    objects = [post(1, quoted_status=post(2, retweeted_status=post(3)), retweeted_status=post(4, quoted_status=post(5, quoted_status=post(6)))), post(7), post(8, replies=[post(9), post(10, replies=[post(11)])])]
+    schema, t = RL.relationalize(_lines(spark, *objects))
+    assert set(schema.relations) == {"tweet", "tags"} and schema.depth == 3
+
+    def brute(o, up):
+        got = {(o["id_str"], up)}
+        for k in ("quoted_status", "retweeted_status"):
+            got |= brute(o[k], o["id_str"]) if k in o else set()
+        return got.union(*[brute(x, o["id_str"]) for x in o.get("replies", [])])
+
+    rows = t["tweet"].collect()
+    ids = {r.row_key: r.id_str for r in rows}
+    assert len(ids) == len(rows) == 11
+    assert {(r.id_str, ids.get(r.parent_key)) for r in rows} == set().union(*[brute(o, None) for o in objects])
+    assert {(ids[r.parent_key], r.text) for r in t["tags"].collect()} == {(str(i), f"h{i}") for i in range(1, 12)}
+
+
+def test_recursion_below_the_root(spark):
+    c = lambda i, *r: {"author": i, "body": "b", "score": 1, "answers": list(r)}
+    schema, t = RL.relationalize(_lines(spark, {"title": "x", "comments": [c(1, c(2), c(3, c(4))), c(5)]}, {"title": "y"}))
+    assert set(schema.relations) == {"tweet", "comments"}
+    rows = t["comments"].collect()
+    who = {r.row_key: r.author for r in rows}
+    assert {(r.author, who.get(r.parent_key), r.parent_table) for r in rows} == {(1, None, "tweet"), (5, None, "tweet"), (2, 1, "comments"), (3, 1, "comments"), (4, 3, "comments")}
+
+
+def test_recursion_through_another_table_is_refused(spark):
+    u = {"name": "n", "pinned": {"id_str": "2", "text": "t", "lang": "x"}}
+    with pytest.raises(ValueError, match="recursion"):
+        RL.relationalize(_lines(spark, {"id_str": "1", "text": "t", "lang": "x", "user": u}), keep=("user",))
+    assert RL.relationalize(_lines(spark, {"id_str": "1", "text": "t", "lang": "x", "user": u}))[1]["tweet"].count() == 2
