@@ -4,6 +4,10 @@
 HAPPY = [":)", ":-)", ":D", ";)", ":]", ":P", ":3", ":o)", ":c)", ":>)", "=]", "8)", "=)", ":}", ":^)", "<3", "^_^", ";>", "(:", "(;"]
 SAD = [":-(", ":(", ":-c", ":c", ":-<", ":<", ">:[", ":[", ":-[", ":{", ":'{", ":/"]
 
+# The long lists, an alternative to the short ones above.
+HAPPY_LONG = [":)", ":D", ";)", ":-)", ":P", "=)", "(:", ";-)", "XD", "=D", "=]", ";D", ":]", ":-D", "^_^", "8)", "(8", ":-P", "(;", ";P", ";]", "(=", "[:", "8D", ":'‑)", ":')", ":*", ":-*", ":^*", ">:P", "X‑P", "x‑p", ":‑p", ":p", "=p", ":‑Þ", ":‑b", ":b", "d:", "<3", "❤", "😸", "😼", "😻", "😺", "😹", "😲", "☺️", "😽", "😘", "😗", "😛", "😚", "😙", "😏", "😎", "😍", "😇", "😆", "😅", "😌", "😋", "😊", "😉", "😀", "😄", "😃", "😂", "😁", "😈"]
+SAD_LONG = [">:]", ":-(", ":(", ":-c", ":c", ":-<", ":<", ":-[", ":[", ":{", ";(", ":-||", ":@", ">:(", ":'-(", ":'(", "D:<", "D8", "D;", "D=", "DX", "v.v", "D‑':", ">:O", ":-O", ":O", ":-o", ":o", "8‑0", "O_O", "o‑o", "O_o", "o_O", "o_o", "O-O", ">:/", "=/", "T_T", "=(", "=[", "😷", "😵", "😰", "😯", "😮", "😳", "😱", "😤", "😨", "😧", "😦", "😥", "😬", "😫", "😩", "😠", "😟", "😞", "😣", "😢", "😡", "🙀", "😿", "😾", "😖", "😕", "😔", "😓", "😒", "👿"]
+
 # Words between a negator and an adjective that are skipped.
 INTENSIFIERS = ["so", "very", "as", "such", "that", "much", "the", "a", "an"]
 

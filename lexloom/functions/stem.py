@@ -1,4 +1,4 @@
-"""English stemmer (a compact suffix stripper after Porter, 1980) as an Arrow-batched UDF."""
+"""English Snowball stemmer (Porter's second English algorithm, as published) as an Arrow-batched UDF."""
 
 from __future__ import annotations
 
@@ -9,62 +9,96 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_V = "[aeiouy]"
+# Fixed values of the algorithm: words with a stem of their own, words that stay after step 1a, starts of region 1, suffixes by step.
+SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+UNCHANGED = {"sky", "news", "howe", "atlas", "cosmos", "bias", "andes"}
+AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+STARTS = ("gener", "commun", "arsen")
+STEP2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less"}
+STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize"]
+VALID_LI = "cdeghkmnrt"
 
+_VOWEL = "[aeiouy]"
+_REGION = re.compile(rf"{_VOWEL}[^aeiouy]")
+_SHORT = re.compile(rf"(?:[^aeiouy]{_VOWEL}[^aeiouywxY]|^{_VOWEL}[^aeiouy])$")
 
-def _measure(stem: str) -> int:
-    shape = "".join("V" if c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") else "C" for i, c in enumerate(stem))
-    return len(re.findall("V+C", shape))
 
+def _regions(w: str) -> tuple[int, int]:
+    """Where regions 1 and 2 start."""
+    head = next((len(s) for s in STARTS if w.startswith(s)), None)
+    if head is None:
+        m = _REGION.search(w)
+        head = m.end() if m else len(w)
+    m = _REGION.search(w, head)
+    return head, m.end() if m else len(w)
 
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
+
+def _longest(w: str, suffixes) -> str | None:
+    return max((s for s in suffixes if w.endswith(s)), key=len, default=None)
+
+
+def _step1(w: str, r1: int) -> str:
+    s = _longest(w, ("eedly", "eed", "ingly", "ing", "edly", "ed"))
+    if s is None:
+        return w
+    at = len(w) - len(s)
+    if s.startswith("eed"):
+        return w[:at] + "ee" if at >= r1 else w
+    if not re.search(_VOWEL, w[:at]):
+        return w
+    w = w[:at]
+    if w.endswith(("at", "bl", "iz")):
+        return w + "e"
+    if w.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+        return w[:-1]
+    return w + "e" if r1 >= len(w) and _SHORT.search(w) else w
 
 
 @lru_cache(maxsize=1 << 16)
 def stem(w: str) -> str:
-    """The stem of a lower-case word; words under three letters stay."""
+    """The stem of a lower-case word; words of one or two letters stay."""
     if len(w) < 3:
         return w
-    if w.endswith("sses") or w.endswith("ies"):
+    w = w.removeprefix("'")
+    if w in SPECIAL:
+        return SPECIAL[w]
+    if w in UNCHANGED:
+        return w
+    w = re.sub(r"^y|(?<=[aeiouy])y", "Y", w)
+    r1, r2 = _regions(w)
+    w = re.sub(r"'(?:s'?)?$", "", w)
+    if w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(rf"{_VOWEL}.", w[:-1]):
+        w = w[:-1]
+    if w in AFTER_1A:
+        return w
+    w = _step1(w, r1)
+    w = re.sub(r"(?<=.[^aeiouy])[yY]$", "i", w)
+    s = _longest(w, (*STEP2, "ogi", "li"))
+    if s and len(w) - len(s) >= r1:
+        head = w[: -len(s)]
+        if s in STEP2:
+            w = head + STEP2[s]
+        elif s == "ogi" and head.endswith("l"):
+            w = head + "og"
+        elif s == "li" and head[-1:] in VALID_LI and head:
+            w = head
+    s = _longest(w, (*STEP3, "ative"))
+    if s and len(w) - len(s) >= r1:
+        if s in STEP3:
+            w = w[: -len(s)] + STEP3[s]
+        elif len(w) - len(s) >= r2:
+            w = w[: -len(s)]
+    s = _longest(w, (*STEP4, "ion"))
+    if s and len(w) - len(s) >= r2 and (s != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(s)]
+    if w.endswith("e") and (len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _SHORT.search(w[:-1]))) or (w.endswith("ll") and len(w) - 1 >= r2):
         w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for suf in ("ed", "ing"):
-            if w.endswith(suf) and re.search(_V, w[: -len(suf)]):
-                w = w[: -len(suf)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif re.search(r"([^aeioulsz])\1$", w):
-                    w = w[:-1]
-                elif _measure(w) == 1 and re.search(r"[^aeiou][aeiouy][^aeiouwxy]$", w):
-                    w += "e"
-                break
-    if w.endswith("y") and re.search(_V, w[:-1]):
-        w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for suf, new in table:
-            if w.endswith(suf):
-                if _measure(w[: -len(suf)]) > 0:
-                    w = w[: -len(suf)] + new
-                break
-    for suf in _STEP4:
-        if w.endswith(suf):
-            if _measure(w[: -len(suf)]) > 1:
-                w = w[: -len(suf)]
-            break
-    else:
-        if re.search("[st]ion$", w) and _measure(w[:-3]) > 1:
-            w = w[:-3]
-    if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or (m == 1 and not re.search(r"[^aeiou][aeiouy][^aeiouwxy]e$", w)):
-            w = w[:-1]
-    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+    return w.replace("Y", "y")
 
 
 def stem_one(t: str) -> str:

@@ -21,7 +21,9 @@ def lit_map(d: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def lit_array(xs: Sequence[str]) -> Column:
+def lit_array(xs: Sequence[str] | Column) -> Column:
+    if isinstance(xs, Column):  # the row's own part of a longer list, see operators.dictionaries
+        return xs
     return F.array(*[F.lit(x) for x in xs]).cast("array<string>")
 
 
@@ -66,6 +68,11 @@ def clear_text(s: Column) -> Column:
     return F.trim(F.translate(s, ".!?_", "    "))
 
 
+def commas_to_blanks(s: Column) -> Column:
+    """Commas become blanks (TXT-19), so a text can be a field of a comma-separated line."""
+    return F.translate(s, ",", " ")
+
+
 def _hits(s: Column, items: Sequence[str]) -> Column:
     return let(s, lambda v: F.filter(lit_array(sorted(items)), lambda e: F.contains(v, e)))
 
@@ -106,15 +113,18 @@ def _at(a: Column, i: Column) -> Column:
     return F.get(a, i)
 
 
-def negate_verbs(s: Column, verbs: Sequence[str] = tuple(K.VERBS)) -> Column:
+def negate_verbs(s: Column, verbs: Sequence[str] | Column = tuple(K.VERBS)) -> Column:
     """A negator before a known verb becomes ``NOT_verb``; another gets ``n't`` spelled ``not`` (TXT-08).
 
     A verb consumed by its negator leaves an empty token. Verbs that look like
-    negators are refused, so a consumed token never acts as a negator and the
+    negators are refused (left out of a Column of verbs), so a consumed token never acts as a negator and the
     left-to-right rewrite equals this index form.
     """
-    _no_negators(verbs, "verbs")
-    vs = lit_array(verbs)
+    if isinstance(verbs, Column):
+        vs = F.filter(verbs, lambda t: ~_negator(t))
+    else:
+        _no_negators(verbs, "verbs")
+        vs = lit_array(verbs)
     verb = lambda t: F.array_contains(vs, t)
 
     def one(a: Column, t: Column, i: Column) -> Column:
@@ -128,16 +138,23 @@ def negate_verbs(s: Column, verbs: Sequence[str] = tuple(K.VERBS)) -> Column:
     return let(F.split(s, " "), lambda a: F.array_join(F.transform(a, lambda t, i: one(a, t, i)), " "))
 
 
-def negate_adjectives(s: Column, antonyms: Sequence[tuple[str, str]] = tuple(K.ANTONYMS)) -> Column:
-    """``not good`` becomes ``bad``; a word such as ``very`` between is blanked (TXT-10)."""
-    m: dict[str, str] = {}
-    for x, y in antonyms:
-        m[x] = y
-        m[y] = x
-    _no_negators(list(m), "adjectives")
-    am, skip = lit_map(m), lit_array(K.INTENSIFIERS)
-    if set(m) & set(K.INTENSIFIERS):
-        raise ValueError("adjectives may not be intensifiers")
+def negate_adjectives(s: Column, antonyms: Sequence[tuple[str, str]] | Column = tuple(K.ANTONYMS)) -> Column:
+    """``not good`` becomes ``bad``; a word such as ``very`` between is blanked (TXT-10).
+
+    ``antonyms`` are pairs, or a map Column with both directions.
+    """
+    skip = lit_array(K.INTENSIFIERS)
+    if isinstance(antonyms, Column):
+        am = F.map_filter(antonyms, lambda k, v: ~_negator(k) & ~k.isin(*K.INTENSIFIERS))
+    else:
+        m: dict[str, str] = {}
+        for x, y in antonyms:
+            m[x] = y
+            m[y] = x
+        _no_negators(list(m), "adjectives")
+        if set(m) & set(K.INTENSIFIERS):
+            raise ValueError("adjectives may not be intensifiers")
+        am = lit_map(m)
     neg = lambda t: F.coalesce(_negator(t), F.lit(False))
     far = lambda a, i: F.array_contains(skip, _at(a, i + 1)) & _at(a, i + 2).isNotNull()
 
@@ -168,7 +185,7 @@ def drop_short_words(s: Column) -> Column:
     return F.regexp_replace(s, r"\b[\w']{1,2}\b", "")
 
 
-def remove_stopwords(s: Column, words: Sequence[str] = tuple(K.STOPWORDS)) -> Column:
+def remove_stopwords(s: Column, words: Sequence[str] | Column = tuple(K.STOPWORDS)) -> Column:
     """Drop tokens that are stop-words; repeated other words stay (TXT-14)."""
     w = lit_array(words)
     return F.array_join(F.filter(F.split(s, " "), lambda t: ~F.array_contains(w, t)), " ")

@@ -85,32 +85,68 @@ def _augment_rounds(df: DataFrame) -> Column:
     return _sizes(df, "case when n > 0 then greatest(ceil(p / n) - 1, 0) end")
 
 
-def blankout(df: DataFrame, lemmas: Sequence[str], key: str = "id", tokens: str = "uni", k: int = 1, least: int = 4) -> DataFrame:
+def _as_table(spark, words: Sequence[str] | DataFrame) -> DataFrame:
+    return words if isinstance(words, DataFrame) else spark.createDataFrame([(w,) for w in sorted(set(words))], "lemma string")
+
+
+def blankout(df: DataFrame, lemmas: Sequence[str] | DataFrame, key: str = "id", tokens: str = "uni", k: int = 1, least: int = 4) -> DataFrame:
     """Copies of the negatives with one word dropped (BAL-05), enough rounds for the classes to meet.
 
     The word is the eligible one (no negation, no sentiment lemma) with the
     smallest hash; a copy without an eligible word is lost. Instead of at most
-    eleven random draws every position is considered.
+    eleven random draws every position is considered. ``lemmas`` is a list or a table whose
+    first column has them; the positions of the negatives are anti-joined with it once, before they are copied.
     """
     if k != 1:
         raise ValueError("one word is dropped per copy")
-    ls = F.array(*[F.lit(x) for x in sorted(lemmas)]).cast("array<string>")
-    neg = _copies(df.filter((F.col("label") == 0) & (F.size(tokens) >= k + least)), _augment_rounds(df))
-    ok = lambda t: ~(t.rlike("^(NOT_|not_)") | t.rlike("(dont|havent|cant|cannot|arent|aint)$") | F.array_contains(ls, t))
-    spots = F.filter(F.transform(F.col(tokens), lambda t, i: F.when(ok(t), F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("copy").cast("string"), i.cast("string"))).alias("h"), i.alias("i")))), lambda x: x.isNotNull())
-    neg = neg.withColumn("__s", F.array_min(spots).getField("i")).filter("__s is not null")
+    table = _as_table(df.sparkSession, lemmas)
+    lem = table.select(F.col(table.columns[0]).alias("__t")).filter("__t is not null").distinct()
+    base = df.filter((F.col("label") == 0) & (F.size(tokens) >= k + least))
+    spots = base.select(F.col(key).alias("__k"), F.posexplode(tokens).alias("__i", "__t")).filter(~F.col("__t").rlike("^(NOT_|not_)|(dont|havent|cant|cannot|arent|aint)$"))
+    spots = spots.join(lem, "__t", "left_anti").groupBy("__k").agg(F.collect_set("__i").alias("__ok"))  # at most the words of one row
+    neg = _copies(base.join(spots, F.col(key) == F.col("__k")).drop("__k"), _augment_rounds(df))
+    h = F.transform("__ok", lambda i: F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("copy").cast("string"), i.cast("string"))).alias("h"), i.alias("i")))
+    neg = neg.withColumn("__s", F.array_min(h).getField("i"))
     left = F.filter(F.transform(F.col(tokens), lambda t, i: F.when(i != F.col("__s"), F.lower(t))), lambda t: t.isNotNull())
-    return neg.withColumn(tokens, left).drop("__s")
+    return neg.withColumn(tokens, left).drop("__s", "__ok")
 
 
-def synonyms(df: DataFrame, table: Mapping[str, Sequence[str]], key: str = "id", tokens: str = "uni") -> DataFrame:
-    """Copies of the negatives with every word that has neighbours replaced by one of them (BAL-06); unchanged copies are lost."""
-    syn = F.create_map(*[x for w, ns in sorted(table.items()) for x in (F.lit(w), F.array(*[F.lit(n) for n in ns]))])
-    neg = _copies(df.filter("label = 0"), _augment_rounds(df)).filter(F.exists(F.col(tokens), lambda t: F.map_contains_key(syn, t)))
+def synonyms(df: DataFrame, table: Mapping[str, Sequence[str]] | DataFrame, key: str = "id", tokens: str = "uni") -> DataFrame:
+    """Copies of the negatives with every word that has neighbours replaced by one of them (BAL-06); unchanged copies are lost.
+
+    ``table`` is a mapping or a table (word, neighbours); each negative is joined with the entries of its words once, before it is copied.
+    """
+    if not isinstance(table, DataFrame):
+        table = df.sparkSession.createDataFrame([(w, list(ns)) for w, ns in sorted(table.items())], "word string, neighbours array<string>")
+    base = df.filter("label = 0")
+    syn = table.filter((F.size("neighbours") > 0) & F.col("word").isNotNull()).groupBy(F.col("word").alias("__t")).agg(F.min("neighbours").alias("__n"))
+    own = base.select(F.col(key).alias("__k"), F.explode(F.array_distinct(tokens)).alias("__t")).join(syn, "__t").groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("__t", "__n"))).alias("__m"))  # at most the words of one row
+    neg = _copies(base.join(own, F.col(key) == F.col("__k")).drop("__k"), _augment_rounds(df))
 
     def pick(t: Column, i: Column) -> Column:
-        ns = F.try_element_at(syn, t)
+        ns = F.try_element_at(F.col("__m"), t)
         d = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("copy").cast("string"), i.cast("string"))), 1, 4), 16, 10).cast("int")
         return F.lower(F.coalesce(F.get(ns, F.when(F.size(ns) > 0, F.pmod(d, F.size(ns)))), t))
 
-    return neg.withColumn(tokens, F.transform(F.col(tokens), pick))
+    return neg.withColumn(tokens, F.transform(F.col(tokens), pick)).drop("__m")
+
+
+def augment(df: DataFrame, how: str, lemmas: Sequence[str] | DataFrame = (), table: Mapping[str, Sequence[str]] | DataFrame = {}, key: str = "id", tokens: str = "uni") -> DataFrame:  # noqa: B006
+    """The training set of an augmented self-training round (BAL-07, BAL-08), with ``copy``, 0 for originals.
+
+    ``how`` is ``blankout`` or ``embeddings`` (all originals and the copies), or ``sampling`` (half of the positives, all
+    negatives, and random halves of these until they are P/2). A set whose imbalance is at most GATE, or empty, passes through unchanged.
+    """
+    whole = df.withColumn("copy", F.lit(0))
+    if how not in ("blankout", "embeddings", "sampling"):
+        raise ValueError(f"unknown augmentation {how}")
+    needed = lambda d: d.withColumn("__need", _sizes(df, f"coalesce(abs(p - n) / (p + n) > {GATE}, false)")).filter("__need").drop("__need")
+    if how == "sampling":
+        skewed = _sizes(df, f"coalesce(abs(p - n) / (p + n) > {GATE}, false)")
+        whole = whole.withColumn("__need", skewed).filter(~F.col("__need") | (F.col("label") != 1) | half(F.col(key), "p")).drop("__need")
+        pos = F.sum(F.when((F.col("label") == 1) & half(F.col(key), "p"), 1))
+        rounds = df.agg(pos.alias("p"), F.count_if(F.col("label") == 0).alias("n")).select(F.expr("case when n >= 2 and n < p then ceil((p - n) / (n div 2)) end")).scalar()
+        extra = _copies(df.filter("label = 0"), rounds).filter(half(F.col(key), F.col("copy")))
+    else:
+        extra = blankout(df, lemmas, key, tokens) if how == "blankout" else synonyms(df, table, key, tokens)
+    return whole.unionByName(needed(extra).select(whole.columns))

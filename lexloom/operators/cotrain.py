@@ -47,6 +47,26 @@ def loop(gold: DataFrame, pool: DataFrame, tau: float = 0.65, steps: int = 6, ke
     return m0, m1, done
 
 
+def accuracy_by_step(gold: DataFrame, pool: DataFrame, test: DataFrame, tau: float = 0.65, steps: int = 6, key: str = "id", v0: int = B.UNI, v1: int = B.BI, checkpoint: bool = True) -> DataFrame:
+    """(step, view, n, accuracy) on ``test`` of both views after each step of the threshold loop that labelled anything (COT-01).
+
+    The labels a view got up to a step are added to its training counts, so the loop runs once.
+    """
+    done = loop(gold, pool, tau, steps, key, v0, v1, checkpoint)[2]
+    if checkpoint:
+        done = cut(done)
+    last = done.agg(F.max("step")).first()[0] or 0
+    out = done.sparkSession.createDataFrame([], "step int, view int, n long, accuracy double")
+    for view, tok, v in ((0, "uni", v0), (1, "bi", v1)):
+        new = done.filter(F.col("view") == 1 - view).select(key, "label", "step").join(pool.select(key, tok), key)
+        m, extra = B.train(gold, tok), B.train(new, tok, by=("step",))
+        for k in range(1, last + 1):
+            upto = B.Model(extra.cond.filter(F.col("step") <= k).drop("step"), extra.prior.filter(F.col("step") <= k).drop("step"))
+            s = B.score(test, B.add(m, upto), tok, key, ("label",), v)
+            out = out.unionByName(s.agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("int")).alias("accuracy")).select(F.lit(k).alias("step"), F.lit(view).alias("view"), "n", "accuracy"))
+    return out
+
+
 def exchange(gold: DataFrame, pool: DataFrame, by: tuple[str, ...] = (), key: str = "id", models: tuple[B.Model, B.Model] | None = None, v0: int = B.UNI, v1: int = B.BI) -> tuple[B.Model, B.Model, DataFrame]:
     """Growth (COT-04): no threshold, each view labels the whole pool once for the other, both retrain.
 

@@ -5,6 +5,9 @@ A word without a tag, or not in the lexicon, is no hit; a row without hits score
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +53,15 @@ def in_context(prev: Column, tag: Column) -> Column:
     return F.when(prev.isin("the", "a", "an", "this", "that") & tag.startswith("VB"), "NN").when((prev == "to") & tag.startswith("NN"), "VB").otherwise(tag)
 
 
-def score(df: DataFrame, key: str, text: str, lexicon: DataFrame, tags: DataFrame, carry: list[str] = [], contextual: bool = False) -> DataFrame:  # noqa: B006
+def score(df: DataFrame, key: str, text: str, lexicon: DataFrame, tags: DataFrame, carry: list[str] = [], contextual: bool = False, tagger: Callable[[Column], Column] | None = None) -> DataFrame:  # noqa: B006
     """Mean lexicon score of a row's words (LEX-04), the sign turned for ``NOT_`` words; 0 without hits.
 
     The lexicon and the tag table are joined by word and not hinted: the planner
-    broadcasts them only if they are under its threshold.
+    broadcasts them only if they are under its threshold. Instead of the table, ``tagger`` may tag whole sentences (LEX-02): it
+    maps the array of a row's words, their marks of negation taken off, to the array of their tags; see ``sentence_tagger``.
     """
+    if tagger is not None:
+        return _score_tagged(df, key, text, lexicon, tagger, carry)
     scored = tags.join(lexicon, F.col("word") == F.col("lemma")).select("word", "tag", "pos", "score")
     words = F.transform(F.filter(F.split(F.col(text), " "), lambda t: t != ""), lambda t, i: F.struct(F.regexp_replace(t, "^NOT_", "").alias("w"), t.startswith("NOT_").alias("neg"), i.alias("i")))
     toks = df.select(key, *carry, words.alias("__w")).select(key, *carry, F.explode_outer("__w").alias("t"), "__w")
@@ -67,6 +73,25 @@ def score(df: DataFrame, key: str, text: str, lexicon: DataFrame, tags: DataFram
     return j.groupBy(key, *carry).agg(F.coalesce(F.avg(signed), F.lit(0.0)).alias("score"))
 
 
+def sentence_tagger(tag: Callable[[list[str]], list[str | None]]) -> Callable[[Column], Column]:
+    """A tagger of whole sentences as an Arrow-batched UDF; ``tag`` gives a Penn tag or None for each word."""
+
+    @F.pandas_udf("array<string>")
+    def udf(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: None if ws is None else list(tag(list(ws))))
+
+    return udf
+
+
+def _score_tagged(df: DataFrame, key: str, text: str, lexicon: DataFrame, tagger: Callable[[Column], Column], carry: list[str]) -> DataFrame:
+    raw = F.filter(F.split(F.col(text), " "), lambda t: t != "")
+    d = df.select(key, *carry, raw.alias("__r")).withColumn("__w", F.transform("__r", lambda t: F.regexp_replace(t, "^NOT_", "")))
+    d = d.withColumn("__p", tagger(F.col("__w"))).select(key, *carry, F.explode_outer(F.arrays_zip("__r", "__w", "__p")).alias("t"))
+    d = d.select(key, *carry, F.col("t.__w").alias("lemma"), pos_class(F.col("t.__p")).alias("pos"), F.startswith(F.col("t.__r"), F.lit("NOT_")).alias("neg"))
+    j = d.join(lexicon, ["lemma", "pos"], "left")
+    return j.groupBy(key, *carry).agg(F.coalesce(F.avg(F.when(F.col("neg"), -F.col("score")).otherwise(F.col("score"))), F.lit(0.0)).alias("score"))
+
+
 def sign(score: Column) -> Column:
     return F.signum(score).cast("int")
 

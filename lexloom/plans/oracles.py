@@ -237,6 +237,21 @@ blank AS (SELECT id, copy, [lower(uni[i]) FOR i IN range(1, len(uni) + 1) IF i <
 _SYN_KEYS = arr(sorted(K.SYNONYMS))
 _SYN = "CASE w " + " ".join(f"WHEN {s(w)} THEN {arr(ns)}" for w, ns in sorted(K.SYNONYMS.items())) + " END"
 
+SYN = SIZES + f""",
+k0 AS (SELECT id, uni, unnest(generate_series(1, greatest(CAST(ceil(p / n) AS BIGINT) - 1, 0))) AS copy FROM train, z WHERE label = 0 AND n > 0 AND list_has_any(uni, {_SYN_KEYS})),
+k1 AS (SELECT id, copy, unnest(uni) AS w, generate_subscripts(uni, 1) AS i FROM k0),
+k2 AS (SELECT id, copy, i, w, {_SYN} AS ns, CAST('0x' || substr(md5(concat_ws('|', id, copy, i - 1)), 1, 4) AS INTEGER) AS hv FROM k1)"""
+_SYN_WORD = "lower(coalesce(ns[hv % len(ns) + 1], w))"
+
+
+def balanced(ctes: str, kept: str = "true") -> str:
+    """One round on the originals (those ``kept`` if augmentation is needed) and, if it is needed, ``extra``."""
+    c = CORPUS + "," + ctes + f""",
+gate AS (SELECT abs(p - n) / (p + n) > 0.2 AS need FROM z),
+fused AS (SELECT id, label, uni FROM train, gate WHERE NOT need OR {kept} UNION ALL SELECT id, label, uni FROM extra, gate WHERE need)"""
+    return out(c + train("m", "fused", "uni") + score("e", "m", "pool", "uni", V0), f"SELECT id, {SPLIT} FROM e")
+
+
 # ---- time ---------------------------------------------------------------------------------
 WINDOWS = {"single": ("0", "period = month"), "cumulative": ("0", "month <= period"), "sliding": ("2", "month BETWEEN period - 2 AND period")}
 
@@ -300,6 +315,17 @@ def co_loop(steps: int) -> str:
     return out(c, " UNION ALL ".join(got))
 
 
+def co_accuracy(steps: int) -> str:
+    """The loop's training sets after each step, scored on the test rows; steps after the last that labelled anything are left out."""
+    c = co_loop(steps).rsplit("\nSELECT 0 AS view, id, label, 1 AS step", 1)[0].removeprefix("WITH ").rstrip()
+    got = []
+    for k in range(1, steps + 1):
+        for i, (view, v) in enumerate((("uni", V0), ("bi", V1))):
+            c += train(f"t{view}{k}", f"tr{view}{k}", view) + score(f"e{view}{k}", f"t{view}{k}", "test", view, v, carry="label")
+            got.append(f"SELECT {k} AS step, {i} AS view, count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM e{view}{k} WHERE EXISTS (SELECT 1 FROM huni{k}) OR EXISTS (SELECT 1 FROM hbi{k}) HAVING count(*) > 0")
+    return out(c, " UNION ALL ".join(got))
+
+
 def growth(pool: str, mid: str = "") -> str:
     return CORPUS + mid + train("m", "train", "uni") + score("s", "m", pool, "uni", V0) + relabel("lab", "s", pool) + union("mixed", "train", "lab") + train("m2", "mixed", "uni")
 
@@ -413,15 +439,15 @@ UNION ALL SELECT NULL, 0, round(ln(d0 + 1.0) - ln(d0 + d1 + 2.0), 6) FROM m_prio
         "nb_label_counts": out(ROUND, "SELECT pred, count(*) AS n FROM e GROUP BY pred"),
         "nb_random_baseline": out(CORPUS + RANDOM + train("m", "coin", "uni") + score("s", "m", "pool", "uni", V0) + relabel("lab", "s", "pool") + union("mixed", "coin", "lab") + train("m2", "mixed", "uni") + score("e", "m2", "test", "uni", V0, carry="label"), "SELECT count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM e"),
         "self_train_round": out(ROUND, f"SELECT id, {SPLIT} FROM e"),
-        "self_train_loop": self_loop(2),
+        "self_train_loop": self_loop(5),
         "self_train_growth": out(growth("pool") + score("e", "m2", "test", "uni", V0, carry="label"), "SELECT id, label, pred, round(p1, 6) AS p1 FROM e"),
         "self_train_transductive": out(growth("test") + score("a", "m2", "test", "uni", V0), 'SELECT s.pred AS before, a.pred AS "after", count(*) AS n FROM s JOIN a USING (id) GROUP BY ALL'),
         "label_counts": out(DOCS, "SELECT count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative, count(*) FILTER (label IS NULL) AS n_null FROM docs"),
         "validate_pseudo_labels": out(CORPUS + train("m", "train", "uni") + score("s", "m", "pool", "uni", V0) + relabel("lab", "s", "pool", where=f"{CONF} >= {TAU}") + union("mixed", "train", "lab") + train("m2", "mixed", "uni") + score("e", "m2", "test", "uni", V0, carry="label"), "SELECT count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM e"),
         "sample_per_class": out(ROUND, "SELECT id, pred, CAST(rn AS INTEGER) AS rn FROM (SELECT id, pred, row_number() OVER (PARTITION BY pred ORDER BY id) AS rn FROM e) WHERE rn <= 100"),
-        "split_audit": out(ROUND, f"SELECT count(*) AS n_pool, count(*) FILTER ({CONF} >= {TAU}) AS n_high, count(*) FILTER ({CONF} < {TAU}) AS n_low, CAST(0 AS BIGINT) AS n_missing FROM e"),
+        "split_audit": out(ROUND, f"SELECT count(*) AS n_pool, count(*) FILTER ({CONF} >= {TAU}) AS n_high, count(*) FILTER ({CONF} < {TAU}) AS n_low, (SELECT count(*) FROM pool) - count(*) AS n_missing FROM e"),
         "co_train_round": out(_co_round(), f"SELECT 0 AS view, id, {SPLIT} FROM suni UNION ALL SELECT 1, id, {SPLIT} FROM sbi"),
-        "co_train_loop": co_loop(2),
+        "co_train_loop": co_loop(6),
         "co_train_growth": _growth_co(),
         "co_train_label_counts": out(exchange(), "SELECT u.label AS uni_label, b.label AS bi_label, count(*) AS n FROM luni u JOIN lbi b USING (id) GROUP BY ALL"),
         "co_train_holdout": _holdout(),
@@ -430,11 +456,20 @@ UNION ALL SELECT NULL, 0, round(ln(d0 + 1.0) - ln(d0 + d1 + 2.0), 6) FROM m_prio
         "oversample": out(CORPUS + "," + SIZES, OVER),
         "resample_both": out(CORPUS + "," + SIZES, BOTH),
         "blankout": out(CORPUS + "," + BLANK, "SELECT id, CAST(copy AS INTEGER) AS copy, array_to_string(uni, ' ') AS unigrams FROM blank"),
-        "balanced_self_train": out(CORPUS + "," + BLANK + ", extra AS (SELECT id, 0 AS label, uni FROM blank), slim AS (SELECT id, label, uni FROM train)" + union("fused", "slim", "extra") + train("m", "fused", "uni") + score("e", "m", "pool", "uni", V0), f"SELECT id, {SPLIT} FROM e"),
-        "synonym_augment": out(CORPUS + "," + SIZES + f""",
-k0 AS (SELECT id, uni, unnest(generate_series(1, greatest(CAST(ceil(p / n) AS BIGINT) - 1, 0))) AS copy FROM train, z WHERE label = 0 AND n > 0 AND list_has_any(uni, {_SYN_KEYS})),
-k1 AS (SELECT id, copy, unnest(uni) AS w, generate_subscripts(uni, 1) AS i FROM k0),
-k2 AS (SELECT id, copy, i, w, {_SYN} AS ns, CAST('0x' || substr(md5(concat_ws('|', id, copy, i - 1)), 1, 4) AS INTEGER) AS hv FROM k1)""", "SELECT id, CAST(copy AS INTEGER) AS copy, string_agg(lower(coalesce(ns[hv % len(ns) + 1], w)), ' ' ORDER BY i) AS unigrams FROM k2 GROUP BY id, copy"),
+        "balanced_self_train": balanced(BLANK + ", extra AS (SELECT id, 0 AS label, uni FROM blank)"),
+        "balanced_self_train_embeddings": balanced(SYN + f", extra AS (SELECT id, 0 AS label, list({_SYN_WORD} ORDER BY i) AS uni FROM k2 GROUP BY id, copy)"),
+        "balanced_self_train_sampling": balanced(SIZES + f""",
+hp AS (SELECT count(*) AS hp FROM train WHERE label = 1 AND {HALF('id', "'p'")}),
+extra AS (SELECT id, 0 AS label, uni FROM (SELECT id, uni, unnest(generate_series(1, CAST(ceil((hp - n) / (n // 2)) AS BIGINT))) AS copy FROM train, z, hp WHERE label = 0 AND n >= 2 AND n < hp) WHERE {HALF('id', 'copy')})""", f"(label <> 1 OR {HALF('id', chr(39) + 'p' + chr(39))})"),
+        "balanced_self_train_pass_through": out(CORPUS + "," + SIZES + ", fused AS (SELECT id, label, uni FROM train WHERE label = 0 UNION ALL SELECT id, label, uni FROM (SELECT id, label, uni, n, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR))) AS rn FROM train, z WHERE label = 1) WHERE rn <= n)" + train("m", "fused", "uni") + score("e", "m", "pool", "uni", V0), f"SELECT id, {SPLIT} FROM e"),
+        "slang_replace_joined": text_query(x_slang("lower(text)"), True),
+        "remove_stopwords_joined": text_query(x_stop("lower(text)")),
+        "negate_verbs_joined": f"SELECT id, {x_verbs('a')} AS out FROM (SELECT id, string_split(lower(text), ' ') AS a FROM tweet_long)",
+        "negate_adjectives_joined": f"SELECT id, {x_adjectives('a')} AS out FROM (SELECT id, string_split(lower(text), ' ') AS a FROM tweet_long)",
+        "commas_to_blanks": "SELECT id, replace(text, ',', ' ') AS out FROM tweet_long",
+        "emoticon_counts_long": f"SELECT id, CAST(len({HITS(K.HAPPY_LONG, 'text')}) AS INTEGER) AS n_happy, CAST(len({HITS(K.SAD_LONG, 'text')}) AS INTEGER) AS n_sad FROM tweet_long",
+        "co_train_accuracy": co_accuracy(6),
+        "synonym_augment": out(CORPUS + "," + SYN, f"SELECT id, CAST(copy AS INTEGER) AS copy, string_agg({_SYN_WORD}, ' ' ORDER BY i) AS unigrams FROM k2 GROUP BY id, copy"),
         "predict_export": out(PREDICT, "SELECT id, label AS gold, pred FROM e"),
         "accuracy": out(PREDICT, "SELECT count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM e"),
         "confusion_matrix": out(PREDICT, "SELECT label, pred, count(*) AS n FROM e GROUP BY ALL"),

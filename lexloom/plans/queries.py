@@ -15,6 +15,7 @@ from lexloom.operators import balance as BAL
 from lexloom.operators import bayes as B
 from lexloom.operators import corpus as C
 from lexloom.operators import cotrain as CT
+from lexloom.operators import dictionaries as DI
 from lexloom.operators import evaluate as E
 from lexloom.operators import lexicon as LX
 from lexloom.operators import selftrain as ST
@@ -139,6 +140,34 @@ for _name, _make in {
     _text(_name, _make)
 
 
+def _lines(spark, rows):
+    return spark.createDataFrame([(r,) for r in rows], "value string")
+
+
+def _joined(name, table, word, value, make, lower=True):
+    """The same functions with dictionaries that are joined, read as the lines of their files."""
+
+    def f(spark, d):
+        t = _long(spark, d).select("id", (F.lower("text") if lower else F.col("text")).alias("text"))
+        return DI.with_entries(t, "text", table(spark, d), word, value, "own").select("id", make(F.col("text"), F.col("own")).alias("out"))
+
+    f.__name__ = name
+    q(f)
+
+
+_joined("slang_replace_joined", lambda s, d: P.table(s, d, "slang").withColumn("replacement", F.regexp_replace("replacement", "  +", " ")), "term", "replacement", X.slang_replace)
+_joined("remove_stopwords_joined", lambda s, d: L.term_list(_lines(s, K.STOPWORDS)), "word", None, X.remove_stopwords)
+_joined("negate_verbs_joined", lambda s, d: L.term_list(_lines(s, K.VERBS)), "word", None, X.negate_verbs)
+_joined("negate_adjectives_joined", lambda s, d: L.antonym_table(_lines(s, [f"{a},{b}" for a, b in K.ANTONYMS])), "word", "antonym", X.negate_adjectives)
+_text("commas_to_blanks", lambda s, d: X.commas_to_blanks(F.col("text")))
+
+
+@q
+def emoticon_counts_long(spark, d):
+    t = F.col("text")
+    return _long(spark, d).select("id", F.size(X.happy(t, K.HAPPY_LONG)).alias("n_happy"), F.size(X.sad(t, K.SAD_LONG)).alias("n_sad"))
+
+
 @q
 def emoticon_counts(spark, d):
     t = F.col("text")
@@ -218,6 +247,14 @@ def lexicon_agree(spark, d):
     return _scored(spark, d).filter(LX.agrees(LX.sign(F.col("score")), F.col("emotion"))).select("id", "emotion", r6("score"))
 
 
+@q
+def lexicon_agree_stemmed(spark, d):
+    """The agreement rows with their text stemmed (no SQL: the stemmer is tested against published stems)."""
+    lx, tags = _lexicon(spark, d)
+    s = LX.score(P.docs(spark, d), "id", "unigrams", lx, tags, ["unigrams", "emotion"])
+    return s.filter(LX.agrees(LX.sign(F.col("score")), F.col("emotion"))).select("id", "emotion", r6("score"), F.array_join(S.stem_tokens(X.tokens(F.col("unigrams"))), " ").alias("stemmed"))
+
+
 @q
 def entity_sentiment_ts(spark, d):
     lx, tags = _lexicon(spark, d)
@@ -292,7 +329,7 @@ def self_train_round(spark, d):
 @q
 def self_train_loop(spark, d):
     train, pool, _ = P.roles(spark, d)
-    return ST.loop(train, pool, "uni", tau=TAU, rounds=2)[1].select("id", "label", r6("p1"), "round")
+    return ST.loop(train, pool, "uni", tau=TAU)[1].select("id", "label", r6("p1"), "round")
 
 
 @q
@@ -349,7 +386,13 @@ def co_train_round(spark, d):
 @q
 def co_train_loop(spark, d):
     train, pool, _ = P.roles(spark, d)
-    return CT.loop(train, pool, TAU, steps=2)[2]
+    return CT.loop(train, pool, TAU)[2]
+
+
+@q
+def co_train_accuracy(spark, d):
+    train, pool, test = P.roles(spark, d)
+    return CT.accuracy_by_step(train, pool, test, TAU).select("step", "view", "n", r6("accuracy"))
 
 
 @q
@@ -400,26 +443,41 @@ def resample_both(spark, d):
     return BAL.resample_both(_train(spark, d).select("id", "label"))
 
 
-def _blanked(spark, d, train):
-    lemmas = sorted(L.small_map(LX.sentiment_lemmas(LX.load_lexicon(P.table(spark, d, "sentiwordnet"))).withColumn("x", F.lit("")), "lemma", "x"))
-    return BAL.blankout(train, lemmas)
+def _lemmas(spark, d):
+    return LX.sentiment_lemmas(LX.load_lexicon(P.table(spark, d, "sentiwordnet")))
+
+
+def _synonyms(spark):
+    return L.synonym_table(_lines(spark, ["\t".join([w, *ns]) for w, ns in K.SYNONYMS.items()]))
 
 
 @q
 def blankout(spark, d):
-    return _blanked(spark, d, _train(spark, d)).select("id", "copy", F.array_join("uni", " ").alias("unigrams"))
+    return BAL.blankout(_train(spark, d), _lemmas(spark, d)).select("id", "copy", F.array_join("uni", " ").alias("unigrams"))
 
 
 @q
 def synonym_augment(spark, d):
-    return BAL.synonyms(_train(spark, d), K.SYNONYMS).select("id", "copy", F.array_join("uni", " ").alias("unigrams"))
+    return BAL.synonyms(_train(spark, d), _synonyms(spark)).select("id", "copy", F.array_join("uni", " ").alias("unigrams"))
 
 
-@q
-def balanced_self_train(spark, d):
-    train, pool, _ = P.roles(spark, d)
-    fused = L.fuse(train.select("id", "label", "uni"), _blanked(spark, d, train.select("id", "label", "uni")).drop("copy"))
-    return ST.round_(fused, pool, "uni", tau=TAU).select("id", r6("p1"), "pred", "is_high")
+def _balanced(name, how, prepare=lambda train: train):
+    """Augment, then one round of self-training; the gate lets a balanced set pass unchanged."""
+
+    def f(spark, d):
+        train, pool, _ = P.roles(spark, d)
+        train = prepare(train.select("id", "label", "uni"))
+        fused = BAL.augment(train, how, _lemmas(spark, d), _synonyms(spark)).drop("copy")
+        return ST.round_(fused, pool, "uni", tau=TAU).select("id", r6("p1"), "pred", "is_high")
+
+    f.__name__ = name
+    q(f)
+
+
+_balanced("balanced_self_train", "blankout")
+_balanced("balanced_self_train_embeddings", "embeddings")
+_balanced("balanced_self_train_sampling", "sampling")
+_balanced("balanced_self_train_pass_through", "blankout", BAL.undersample)
 
 
 # ---- time ---------------------------------------------------------------------------------

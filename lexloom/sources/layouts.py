@@ -16,6 +16,7 @@ LAYOUTS = {
     "prep_out": ("\t", ["id", "passthrough", "text", "emotion", "emoticons", "cleaned"]),
     "long": (",", ["id", "created_at", "hashtags", "text", "retweet_flag", "emotion", "emoticons", "unigrams", "opaque", "bigrams"]),
     "short": (",", ["id", "created_at", "opaque", "emotion", "opaque2", "unigrams", "bigrams"]),
+    "short_labeled": (",", ["id", "created_at", "opaque", "emotion", "opaque2", "unigrams", "bigrams", "pseudo_label"]),
     "tsv01": ("\t", ["id", "label", "opaque", "text"]),
 }
 _INTS = {"retweet_flag", "label", "followers", "friends", "retweets", "favourites"}
@@ -51,6 +52,37 @@ def write_layout(df: DataFrame, layout: str, path: str) -> None:
     df.select(*[F.coalesce(F.col(n).cast("string"), F.lit("null")).alias(n) for n in names]).sortWithinPartitions("id").select(F.concat_ws(sep, *names).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_labeled(df: DataFrame, path: str, label: str = "pred") -> None:
+    """Rows of the ``short`` layout with the predicted label as trailing column (SNK-05); ``read_layout("short_labeled", ...)`` reads them for the next round."""
+    write_layout(df.withColumn("pseudo_label", F.col(label)), "short_labeled", path)
+
+
+def write_predictions(df: DataFrame, path: str, line: str = "value", pred: str = "pred") -> None:
+    """``(line,prediction)`` lines, the prediction as a decimal number (SNK-08)."""
+    df.select(F.concat(F.lit("("), F.coalesce(line, F.lit("")), F.lit(","), F.col(pred).cast("double").cast("string"), F.lit(")")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_predictions(spark: SparkSession, *paths: str) -> DataFrame:
+    """(line, pred) of such a folder; other lines are dropped."""
+    m = lambda i: F.regexp_extract("value", r"^\((.*),(-?[0-9]+(?:\.[0-9]+)?)\)$", i)
+    return read_lines(spark, *paths).filter(m(2) != "").select(m(1).alias("line"), m(2).cast("double").cast("int").alias("pred"))
+
+
+def read_augmented(spark: SparkSession, *paths: str) -> DataFrame:
+    """``(label,text)`` lines of augmentation folders, one folder per iteration (SRC-05): label, text, iter.
+
+    iter is the number at the end of the folder's name, NULL without one; malformed lines are dropped.
+    """
+    m = lambda i: F.regexp_extract("value", r"^\((-?[0-9]+(?:\.[0-9]+)?),(.*)\)$", i)
+    n = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), r"([0-9]+)$", 1)
+    return read_lines(spark, *paths).select("value", n.alias("n")).filter(m(1) != "").select(m(1).cast("double").cast("int").alias("label"), m(2).alias("text"), n.try_cast("int").alias("iter"))
+
+
+def term_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One term per line (stop-words, verbs; SRC-07): distinct, outer blanks dropped, blank lines left out."""
+    return lines.select(F.trim(column).alias("word")).filter("word <> ''").distinct()
+
+
 def label_of(emotion: Column, fallback: Column | None = None, otherwise: int | None = 0) -> Column:
     """The numeric label of a row: its emotion, else the pseudo-label column, else ``otherwise`` (None drops)."""
     c = F.when(emotion == "positive", 1).when(emotion == "negative", 0)
@@ -104,8 +136,8 @@ def synonym_table(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def small_map(df: DataFrame, key: str, value: str, most: int = 100_000) -> dict:
-    """A dictionary table as a Python dict for map literals; refused beyond ``most`` rows (join it instead)."""
+    """A dictionary table as a Python dict for map literals; refused beyond ``most`` rows (``operators.dictionaries`` joins it instead)."""
     rows = df.select(key, value).filter(F.col(key).isNotNull() & F.col(value).isNotNull()).limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} dictionary rows: join the table instead")
+        raise ValueError(f"more than {most} dictionary rows: use operators.dictionaries.with_entries")
     return {r[0]: r[1] for r in sorted(rows)}

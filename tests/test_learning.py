@@ -119,3 +119,31 @@ def test_metrics(spark, rows, prc):
 def test_metrics_without_rows(spark):
     df = spark.createDataFrame([], "pred int, label int")
     assert E.accuracy(df).first().accuracy is None and E.au_prc(df).first()[0] is None and E.confusion(df).count() == 0
+
+
+def test_augmentation_and_its_gate(spark):
+    rows = [(i, 1 if i < 300 else 0, ["kettle", "b", "c", "d", "e"]) for i in range(350)]
+    df = spark.createDataFrame(rows, "id long, label int, uni array<string>")
+    syn = spark.createDataFrame([("kettle", ["pot", "urn"]), (None, ["x"]), ("b", [])], "word string, neighbours array<string>")
+    lem = spark.createDataFrame([("b",), ("c",), ("d",), ("e",), (None,)], "lemma string")
+    n = lambda d: {r.label: r["count"] for r in d.groupBy("label").count().collect()}
+    b = BAL.augment(df, "blankout", lem)
+    assert n(b) == {1: 300, 0: 300} and b.filter("copy > 0 and array_contains(uni, 'kettle')").count() == 0  # the only word that is no lemma goes
+    e = BAL.augment(df, "embeddings", table=syn)
+    assert n(e) == {1: 300, 0: 300} and {r.w for r in e.filter("copy > 0").selectExpr("uni[0] AS w").distinct().collect()} == {"pot", "urn"}
+    s = n(BAL.augment(df, "sampling"))
+    assert 110 < s[1] < 190 and abs(s[0] - s[1]) < 50
+    even = df.filter("id >= 240")
+    for how in ("blankout", "embeddings", "sampling"):
+        got = BAL.augment(even, how, lem, syn)
+        assert n(got) == {1: 60, 0: 50} and got.filter("copy > 0").count() == 0
+        assert BAL.augment(df.filter("false"), how, lem, syn).count() == 0
+    with pytest.raises(ValueError):
+        BAL.augment(df, "other")
+
+
+def test_accuracy_by_step(spark, data):
+    train, pool, test = P.roles(spark, data)
+    got = {(r.step, r.view): r.n for r in CT.accuracy_by_step(train, pool, test, 0.75).collect()}
+    assert got and set(got.values()) == {test.count()} and {v for _, v in got} == {0, 1}
+    assert CT.accuracy_by_step(train, pool.filter("false"), test, 0.75).count() == 0

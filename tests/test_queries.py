@@ -39,4 +39,4 @@ def test_query(spark, con, data, name):
 
 
 def test_all_have_sql():
-    assert set(Q) - set(SQL) == {"stem_tokens", "nb_hashed_agreement"}
+    assert set(Q) - set(SQL) == {"stem_tokens", "lexicon_agree_stemmed", "nb_hashed_agreement"}

@@ -46,3 +46,32 @@ def test_lexicon(spark):
 def test_series_sink(spark, tmp_path):
     L.write_series(spark.createDataFrame([("a", 1, 1), ("b", 2, -1)], "entity string, ts long, sentiment int"), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == 2
+
+
+def test_labelled_rows_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "d", "o", "neutral", "p", "a b", "a_b", 1), (2, None, "o", "positive", "p", "c", None, 0)], "id long, created_at string, opaque string, emotion string, opaque2 string, unigrams string, bigrams string, pred int")
+    L.write_labeled(rows, f"{tmp_path}/r1")
+    back = L.read_layout(spark, "short_labeled", f"{tmp_path}/r1")
+    got = {r.id: r.l for r in back.select("id", L.label_of(F.col("emotion"), F.col("pseudo_label")).alias("l")).collect()}
+    assert got == {1: 1, 2: 1}  # a neutral row has its pseudo-label, another its emotion's
+    assert L.read_layout(spark, "short", f"{tmp_path}/r1").count() == 2
+    L.write_predictions(spark.createDataFrame([("1,x,y", 1), (None, 0), ("a(b),c", 1)], "value string, pred int"), f"{tmp_path}/p")
+    assert {tuple(r) for r in L.read_predictions(spark, f"{tmp_path}/p").collect()} == {("1,x,y", 1), ("", 0), ("a(b),c", 1)}
+
+
+def test_augmentation_folders(spark, tmp_path):
+    for k in (1, 12):
+        lines(spark, f"(0.0,text {k}, more)", "bad", "(x,y)").coalesce(1).write.text(f"{tmp_path}/aug/iter{k}")
+    assert {tuple(r) for r in L.read_augmented(spark, f"{tmp_path}/aug/*").collect()} == {(0, "text 1, more", 1), (0, "text 12, more", 12)}
+
+
+def test_term_list(spark):
+    assert {r.word for r in L.term_list(lines(spark, "the", " and ", "", None, "the")).collect()} == {"the", "and"}
+
+
+def test_sentence_tagger(spark):
+    lx = spark.createDataFrame([("run", "n", 0.5), ("run", "v", -0.25), ("good", "a", 1.0)], "lemma string, pos string, score double")
+    tag = LX.sentence_tagger(lambda ws: ["NN" if w == "run" and i and ws[i - 1] == "a" else "VB" if w == "run" else "JJ" if w == "good" else None for i, w in enumerate(ws)])
+    d = spark.createDataFrame([(1, "a run"), (2, "run"), (3, "NOT_good run x"), (4, ""), (5, None)], "id long, t string")
+    got = {r.id: r.score for r in LX.score(d, "id", "t", lx, None, tagger=tag).collect()}
+    assert got == {1: 0.5, 2: -0.25, 3: pytest.approx(-0.625), 4: 0.0, 5: 0.0}

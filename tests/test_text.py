@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lexloom.functions import constants as K
 from lexloom.functions import dates as D
 from lexloom.functions import text as X
-from lexloom.functions.stem import stem_one
+from lexloom.functions.stem import stem, stem_one
+from lexloom.operators import dictionaries as DI
 
 SLANG = {"u": "you", "gr8": "great"}
 VERBS, STOP, ANT = ["like", "go"], ["the", "and"], [("good", "bad"), ("happy", "sad")]
@@ -85,5 +86,39 @@ def test_stem():
     assert [stem_one(w) for w in ["running", "NOT_liked", "ponies", "relational", "is"]] == ["run", "NOT_like", "poni", "relat", "is"]
 
 
+# Published stems of the Snowball English vocabulary.
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist
+    consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid
+    consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort consorting consort
+    conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl
+    constables constabl constance constanc constancy constanc constant constant knackeries knackeri knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel
+    kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit
+    knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot
+    knots knot news news dying die skies sky inning inning proceed proceed ties tie cries cri gas gas this this gaps gap kiwis kiwi by by say say cry cri generously generous""".split()
+
+
+def test_stems_as_published():
+    assert [(w, stem(w)) for w in STEMS[::2]] == list(zip(STEMS[::2], STEMS[1::2]))
+    assert [stem(w) for w in ("", "a", "is", "'tis", "dog's", "dogs'", "12", "été")] == ["", "a", "is", "tis", "dog", "dog", "12", "été"]
+
+
+def test_commas(spark):
+    assert column(spark, ["a,b,,c", "", None], X.commas_to_blanks) == ["a b  c", "", None]
+
+
+def test_dictionaries_as_columns(spark):
+    texts = ["u like the gr8 good day", "not good and not cannot", "nothing here", "", None, "u like the gr8 good day"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, s string, own string")
+    of = lambda table, w, v, make: [r[1] for r in DI.with_entries(df.drop("own"), "s", table, w, v, "own").select("i", make(F.col("s"), F.col("own"))).orderBy("i").collect()]
+    slang = spark.createDataFrame([("u", "you"), ("u", "yu"), ("gr8", "great"), (None, "x")], "w string, v string")
+    assert of(slang, "w", "v", X.slang_replace) == column(spark, texts, lambda c: X.slang_replace(c, {"u": "you", "gr8": "great"}))
+    assert of(slang.filter("false"), "w", "v", X.slang_replace) == texts
+    ants = spark.createDataFrame([("good", "bad"), ("bad", "good"), ("cannot", "can")], "w string, v string")
+    assert of(ants, "w", "v", X.negate_adjectives) == column(spark, texts, lambda c: X.negate_adjectives(c, [("good", "bad")]))
+    words = spark.createDataFrame([("like",), ("cannot",), ("the",)], "w string")
+    assert of(words, "w", None, X.negate_verbs) == column(spark, texts, lambda c: X.negate_verbs(c, ["like", "the"]))
+    assert of(words, "w", None, X.remove_stopwords) == column(spark, texts, lambda c: X.remove_stopwords(c, ["like", "cannot", "the"]))
+
+
 def test_fixed_lists():
     assert len(K.HAPPY) == 20 and len(K.SAD) == 12
