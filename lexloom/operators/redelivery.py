@@ -6,7 +6,8 @@ in partitions by month of arrival. A merge
 1. reduces the incoming messages to one candidate per identifier (an aggregate
    with map-side combine, so a hot identifier is no hot task),
 2. looks the candidates up in the identifier index and so finds the historical
-   partitions that hold any of them,
+   partitions that hold any of them; the index is cut into buckets by a hash of the identifier,
+   and only the buckets that incoming identifiers fall into are read,
 3. combines just these partitions with the candidates and recomputes the winners,
 4. writes new versions of these partitions (and additions to others) beside the
    old ones, and commits by renaming one manifest into place, so that readers
@@ -26,6 +27,12 @@ from pyspark.sql import functions as F
 
 from lexloom.session import shared_dir
 
+BUCKETS = 16  #: of a store's index; the same for its whole life. Some million identifiers a bucket are fine
+
+
+def bucket(n: int) -> F.Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
 
 def winners(df: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
     """One row per identifier: the smallest (received_at with NULLs last, line_no)."""
@@ -38,10 +45,13 @@ def part_of() -> F.Column:
 
 
 class MessageStore:
-    """A folder with ``data`` and ``index`` per partition version and numbered manifests."""
+    """A folder with ``data`` per partition version, ``index`` per version and bucket (identifier and the data folder that holds it), and numbered manifests.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, payload: Sequence[str] = ()):
-        self.spark, self.payload = spark, tuple(payload)
+    Index rows that name a data folder the manifest no longer names are out of date and are ignored.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, payload: Sequence[str] = (), buckets: int = BUCKETS):
+        self.spark, self.payload, self.buckets = spark, tuple(payload), buckets
         self.path = path or f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
         jvm = spark._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
@@ -64,16 +74,27 @@ class MessageStore:
         fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         fc.rename(tmp, to, gw.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))  # fails if that version exists
 
-    def _read(self, kind: str, dirs: list[str]) -> DataFrame:
-        cols = "id string, received_at timestamp, line_no bigint" if kind == "data" else "id string, part string"
-        schema = cols + "".join(f", {c} string" for c in self.payload if kind == "data")
+    def _read(self, dirs: list[str]) -> DataFrame:
+        schema = "id string, received_at timestamp, line_no bigint" + "".join(f", {c} string" for c in self.payload)
         if not dirs:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{d}" for d in dirs])
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{d}" for d in dirs])
+
+    def _holders(self, cand: DataFrame, live: list[str]) -> list[str]:
+        """The live data folders that hold any of the identifiers, by the index buckets these fall into."""
+        wanted = {f"bucket={r[0]}" for r in cand.select(bucket(self.buckets)).distinct().collect()}  # at most one row per bucket
+        dirs = []
+        for v in sorted({d.split("/")[0] for d in live}):
+            have = {x.getPath().getName() for x in self._fs.listStatus(self._p(f"{self.path}/index/{v}")) if x.isDirectory()}
+            dirs += [f"{self.path}/index/{v}/{b}" for b in sorted(have & wanted)]
+        if not dirs:
+            return []
+        hit = self.spark.read.schema("id string, dir string").parquet(*dirs).join(cand.select("id"), "id", "left_semi").select("dir").distinct()
+        return sorted({r[0] for r in hit.collect()} & set(live))  # at most one row per partition version
 
     def read(self) -> DataFrame:
         """The current messages, one per identifier."""
-        return self._read("data", [d for ds in self._manifest()[1].values() for d in ds])
+        return self._read([d for ds in self._manifest()[1].values() for d in ds])
 
     def merge(self, incoming: DataFrame) -> dict:
         """Add messages (id, received_at, line_no, payload...); returns which partitions were rewritten and extended."""
@@ -85,10 +106,9 @@ class MessageStore:
             stage = f"{self.path}/stage/{new}"
             cand.write.parquet(stage)
             cand = self.spark.read.parquet(stage)
-            index = self._read("index", [d for ds in parts.values() for d in ds])
-            hit = index.join(cand.select("id"), "id", "left_semi").select("part").distinct()
-            affected = sorted(r[0] for r in hit.collect())  # at most one row per partition
-            hist = self._read("data", [d for p in affected for d in parts[p]])
+            held = self._holders(cand, [d for ds in parts.values() for d in ds])
+            affected = sorted({p for p, ds in parts.items() if set(ds) & set(held)})
+            hist = self._read([d for p in affected for d in parts[p]])
             cand = winners(hist.unionByName(cand), self.payload)
         # gathered by partition for few files; the hint lets the planner split a large month over several tasks
         cand.withColumn("part", part_of()).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/data/{new}")
@@ -96,9 +116,8 @@ class MessageStore:
         got = {w.split("=", 1)[1]: f"{new}/{w}" for w in written if w.startswith("part=")}
         if got:
             data = self.spark.read.option("basePath", f"{self.path}/data/{new}").schema("id string, part string").parquet(f"{self.path}/data/{new}")
-            data.select("id", "part", F.col("part").alias("__d")).write.partitionBy("__d").parquet(f"{self.path}/index/{new}")
-            for p in got:  # the index folder of a partition has the name of its data folder
-                self._fs.rename(self._p(f"{self.path}/index/{new}/__d={p}"), self._p(f"{self.path}/index/{new}/part={p}"))
+            index = data.select("id", F.concat(F.lit(f"{new}/part="), "part").alias("dir"), bucket(self.buckets).alias("bucket"))
+            index.write.partitionBy("bucket").parquet(f"{self.path}/index/{new}")
         after = {p: ds for p, ds in parts.items() if p not in affected}
         for p, d in got.items():
             after[p] = [*after.get(p, []), d]
@@ -111,16 +130,15 @@ class MessageStore:
         """Delete partition versions that the current manifest does not name; returns how many."""
         live = {d for ds in self._manifest()[1].values() for d in ds}
         n = 0
-        for kind in ("data", "index"):
-            root = self._p(f"{self.path}/{kind}")
-            if not self._fs.exists(root):
-                continue
-            for v in self._fs.listStatus(root):
-                for s in self._fs.listStatus(v.getPath()):
-                    name = f"{v.getPath().getName()}/{s.getPath().getName()}"
-                    if s.isDirectory() and name not in live:
-                        self._fs.delete(s.getPath(), True)
-                        n += 1
+        root = self._p(f"{self.path}/data")
+        for v in self._fs.listStatus(root) if self._fs.exists(root) else []:
+            version = v.getPath().getName()
+            for s in self._fs.listStatus(v.getPath()):
+                if s.isDirectory() and f"{version}/{s.getPath().getName()}" not in live:
+                    self._fs.delete(s.getPath(), True)
+                    n += 1
+            if not any(d.split("/")[0] == version for d in live):
+                self._fs.delete(self._p(f"{self.path}/index/{version}"), True)
         return n
 
     def drop(self) -> None:

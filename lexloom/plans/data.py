@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import dates as D
 from lexloom.functions import text as X
 from lexloom.operators import corpus as C
+from lexloom.session import cut
 from lexloom.sources import layouts as L
 
 
@@ -37,8 +38,10 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("role", role).withColumn("label", F.coalesce("gold", "label")).drop("gold")
 
 
-def roles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def roles(spark: SparkSession, d: str, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, pool, test). With ``once`` they are written first, for plans that use them many times."""
     c = corpus(spark, d).select("id", "month", "uni", "bi", "label", "role")
+    c = cut(c) if once else c
     return tuple(c.filter(F.col("role") == r).drop("role") for r in ("train", "pool", "test"))  # type: ignore[return-value]
 
 

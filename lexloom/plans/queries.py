@@ -328,20 +328,20 @@ def self_train_round(spark, d):
 
 @q
 def self_train_loop(spark, d):
-    train, pool, _ = P.roles(spark, d)
+    train, pool, _ = P.roles(spark, d, once=True)
     return ST.loop(train, pool, "uni", tau=TAU)[1].select("id", "label", r6("p1"), "round")
 
 
 @q
 def self_train_growth(spark, d):
-    train, pool, test = P.roles(spark, d)
+    train, pool, test = P.roles(spark, d, once=True)
     return B.score(test, ST.growth(train, pool, "uni"), "uni", "id", ("label",)).select("id", "label", "pred", r6("p1"))
 
 
 @q
 def self_train_transductive(spark, d):
     """The pool is the test set itself: label counts before and after retraining."""
-    train, _, test = P.roles(spark, d)
+    train, _, test = P.roles(spark, d, once=True)
     m = B.train(train, "uni")
     before = B.score(test, m, "uni", "id").select("id", F.col("pred").alias("before"))
     after = B.score(test, ST.growth(train, test.drop("label"), "uni"), "uni", "id").select("id", F.col("pred").alias("after"))
@@ -379,25 +379,25 @@ def split_audit(spark, d):
 
 @q
 def co_train_round(spark, d):
-    train, pool, _ = P.roles(spark, d)
+    train, pool, _ = P.roles(spark, d, once=True)
     return CT.round_(train, train, pool, pool, TAU).select("view", "id", r6("p1"), "pred", "is_high")
 
 
 @q
 def co_train_loop(spark, d):
-    train, pool, _ = P.roles(spark, d)
+    train, pool, _ = P.roles(spark, d, once=True)
     return CT.loop(train, pool, TAU)[2]
 
 
 @q
 def co_train_accuracy(spark, d):
-    train, pool, test = P.roles(spark, d)
+    train, pool, test = P.roles(spark, d, once=True)
     return CT.accuracy_by_step(train, pool, test, TAU).select("step", "view", "n", r6("accuracy"))
 
 
 @q
 def co_train_growth(spark, d):
-    train, pool, test = P.roles(spark, d)
+    train, pool, test = P.roles(spark, d, once=True)
     m0, m1, _ = CT.exchange(train, pool)
     a = B.score(test, m0, "uni", "id", ("label",)).select("id", "label", F.col("pred").alias("uni_pred"))
     b = B.score(test, m1, "bi", "id", v=B.BI).select("id", F.col("pred").alias("bi_pred"))
@@ -406,13 +406,13 @@ def co_train_growth(spark, d):
 
 @q
 def co_train_label_counts(spark, d):
-    train, pool, _ = P.roles(spark, d)
+    train, pool, _ = P.roles(spark, d, once=True)
     return CT.exchange(train, pool)[2].groupBy("uni_label", "bi_label").agg(F.count("*").alias("n"))
 
 
 @q
 def co_train_holdout(spark, d):
-    train, pool, test = P.roles(spark, d)
+    train, pool, test = P.roles(spark, d, once=True)
     return B.score(test, CT.holdout(train, pool), "uni", "id", ("label",)).select("id", "label", "pred", r6("p1"))
 
 
@@ -499,7 +499,7 @@ TEMPORAL_CO = {
 
 def _temporal(name, kind, protocol, make):
     def f(spark, d):
-        train, pool, test = P.roles(spark, d)
+        train, pool, test = P.roles(spark, d, once=True)
         if protocol == "union":
             train = train.unionByName(test)
         kind_, _, pool_kind = kind.partition("/")
@@ -558,7 +558,7 @@ def au_prc(spark, d):
 @q
 def co_validate(spark, d):
     """Confusion of both views after a confident exchange: each is trained on gold and the other's HIGH rows."""
-    train, pool, test = P.roles(spark, d)
+    train, pool, test = P.roles(spark, d, once=True)
     high = CT.round_(train, train, pool, pool, TAU).filter("is_high")
     out = []
     for view, tok, v in ((0, "uni", B.UNI), (1, "bi", B.BI)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         return where
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+    folder = tempfile.mkdtemp(prefix="lexloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    where = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", where)
     return where
 

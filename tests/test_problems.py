@@ -1,6 +1,7 @@
 """Problems 1 to 3 against brute force, and on odd input."""
 
 import json
+import shutil
 import re
 from datetime import datetime
 
@@ -177,6 +178,18 @@ def test_store(spark, tmp_path):
     assert store.read().count() == 5
 
 
+def test_merge_reads_only_the_buckets_it_needs(spark, tmp_path):
+    store = RD.MessageStore(spark, f"file://{tmp_path}/store", buckets=8)
+    store.merge(spark.createDataFrame([(f"i{k}", at(k % 90), k, 1) for k in range(200)], MSG))
+    again = spark.createDataFrame([("i7", at(1), 900, 2)], MSG)
+    mine = again.select(RD.bucket(8)).first()[0]
+    for p in (tmp_path / "store" / "index").glob("v*/bucket=*"):
+        if p.name != f"bucket={mine}":
+            shutil.rmtree(p)
+    assert store.merge(again)["rewritten"] == ["2015-01"]
+    assert store.read().count() == 200 and store.read().filter("id = 'i7'").first().line_no == 900
+
+
 def test_redelivery_brute_force(spark, data):
     from lexloom.plans.core_problems import Q
 
