@@ -145,6 +145,15 @@ def fit(texts: list[tuple[str, list[str]]], langs: tuple[str, ...]) -> Model:
     )
 
 
+def proportions(like: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Proportions of languages by EM from the words' likelihoods (words x languages)."""
+    n, k = like.shape
+    p = np.full(k, 1.0 / k)
+    for _ in range(rounds if k > 1 else 0):
+        p = p * ((1.0 / (like @ p).clip(1e-300)) @ like) / n
+    return p
+
+
 def mixture(ll: np.ndarray, rounds: int = 12, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
     """Language set and proportions of a document from its words' log-likelihoods (words x languages).
 
@@ -155,13 +164,9 @@ def mixture(ll: np.ndarray, rounds: int = 12, penalty: float = PENALTY) -> tuple
     like = np.exp(ll - ll.max(axis=1, keepdims=True))
 
     def em(s: list[int]) -> tuple[float, np.ndarray]:
-        p = np.full(len(s), 1.0 / len(s))
         x = like[:, s]
-        for _ in range(rounds):
-            r = x * p
-            z = r.sum(axis=1, keepdims=True).clip(1e-300)
-            p = (r / z).mean(axis=0)
-        return float(np.log((x * p).sum(axis=1).clip(1e-300)).sum()), p
+        p = proportions(x, rounds)
+        return float(np.log((x @ p).clip(1e-300)).sum()), p
 
     chosen = [int(ll.sum(axis=0).argmax())]
     value, p = em(chosen)
@@ -189,6 +194,8 @@ def mixture(ll: np.ndarray, rounds: int = 12, penalty: float = PENALTY) -> tuple
 
 def path(ll: np.ndarray, chosen: list[int], p: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word: a text starts in, and a switch goes to, a language with its proportion ``p``; each switch costs ``switch`` besides."""
+    if len(chosen) == 1:
+        return np.full(len(ll), chosen[0])
     x = ll[:, chosen]
     into = np.log(p.clip(1e-3))
     n, k = x.shape
@@ -241,16 +248,6 @@ def runs_of_others(ll: np.ndarray, chosen: list[int], local: float = LOCAL) -> l
     return chosen
 
 
-def proportions(ll: np.ndarray, chosen: list[int], rounds: int = 12) -> np.ndarray:
-    """Proportions of the chosen languages by EM."""
-    like = np.exp(ll - ll.max(axis=1, keepdims=True))[:, chosen]
-    p = np.full(len(chosen), 1.0 / len(chosen))
-    for _ in range(rounds):
-        x = like * p
-        p = (x / x.sum(axis=1, keepdims=True).clip(1e-300)).mean(axis=0)
-    return p
-
-
 def analyse(text: str | None, m: Model) -> tuple[str | None, float, list[tuple[str, int, int, float]], dict[str, float]]:
     """(language, confidence, segments (language, first word, words, confidence), proportions) of a text."""
     ws = words(text)
@@ -260,7 +257,7 @@ def analyse(text: str | None, m: Model) -> tuple[str | None, float, list[tuple[s
     chosen, p = mixture(ll)
     more = runs_of_others(ll, chosen)
     if len(more) > len(chosen):
-        chosen, p = more, proportions(ll, more)
+        chosen, p = more, proportions(np.exp(ll - ll.max(axis=1, keepdims=True))[:, more])
     lang = path(ll, chosen, p)
     post = posterior(ll, chosen, p)
     runs: list[list[int]] = []

@@ -44,7 +44,7 @@ from lexloom.llm import langid
 from lexloom.session import cut, shared_dir
 
 MAX_VOCAB, TOP_TERMS, LEAST_DF = 20_000, 40, 3
-TOPICS, DOCS_PER_TOPIC, PARALLEL = 5, 2, 6
+TOPICS, DOCS_PER_TOPIC, PARALLEL = 5, 2, 3
 ROUNDS, BATCH, PASSES = 40, 2_000, 3
 TASK = 4_000  #: least texts in a task of a fit
 PRIOR = 40.0  #: labels that the thresholds of all languages weigh in those of one
