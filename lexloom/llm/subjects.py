@@ -47,6 +47,7 @@ MAX_VOCAB, TOP_TERMS, LEAST_DF = 20_000, 40, 3
 TOPICS, DOCS_PER_TOPIC, PARALLEL = 5, 2, 3
 ROUNDS, BATCH, PASSES = 40, 2_000, 3
 TASK = 4_000  #: least texts in a task of a fit
+FILE_ROWS = 2_500  #: most rows of a file of words, so that inference, which costs much more than reading, is spread over the cores
 PRIOR = 40.0  #: labels that the thresholds of all languages weigh in those of one
 CLEAR = 0.45  #: least mean association of a topic's terms with its subject
 SUPPORT, PURE = 6, 0.45  #: a word seen in SUPPORT labelled documents must go with one subject (or none) in this share of them
@@ -82,7 +83,7 @@ def by_language(sents: DataFrame, key: str) -> DataFrame:
     path = f"{shared_dir(spark)}/topic-words-{uuid.uuid4().hex}"
     d = sents.select(key, "copies", "sents", F.explode(F.array_distinct("sents.lang")).alias("lang"))
     own = F.transform(F.filter("sents", lambda s: s["lang"] == F.col("lang")), lambda s: s["words"])
-    d.select(key, "copies", own.alias("sents"), "lang").write.partitionBy("lang").parquet(path)
+    d.select(key, "copies", own.alias("sents"), "lang").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("lang").parquet(path)
     schema = f"{key} {sents.schema[key].dataType.simpleString()}, copies long, sents array<array<string>>, lang string"
     return spark.read.schema(schema).parquet(path)
 
