@@ -366,7 +366,7 @@ def _with_own_names(docs: DataFrame, names: DataFrame, key: str, fields: tuple[s
 
 
 def protect(docs: DataFrame, names: Names | DataFrame, secret: bytes, key: str = "doc_id", fields: tuple[str, ...] = ("text", "screen_name"), dates: bool = False) -> DataFrame:
-    """The documents with every piece replaced in ``fields``, and ``pieces``: what was replaced. Other columns are unchanged.
+    """The documents with every piece replaced in ``fields``, and ``pieces``: what was replaced (instead of a column of that name). Other columns are unchanged.
 
     One pass; with a list of names nothing is shuffled, with a table of names (a longer list) its words are joined, by a unique ``key``.
     """
@@ -388,7 +388,7 @@ def protect(docs: DataFrame, names: Names | DataFrame, secret: bytes, key: str =
         return pd.DataFrame(rows, columns=[*[f"f{i}" for i in range(len(fields))], "pieces"])
 
     done = docs.select("*", F.explode(F.array(udf(*cols))).alias("__r"))  # the generator keeps the pass from being run once per field
-    return done.select(*[F.col(f"__r.f{fields.index(c)}").alias(c) if c in fields else F.col(c) for c in docs.columns if c != "__names"], F.col("__r.pieces").alias("pieces"))
+    return done.select(*[F.col(f"__r.f{fields.index(c)}").alias(c) if c in fields else F.col(c) for c in docs.columns if c not in ("__names", "pieces")], F.col("__r.pieces").alias("pieces"))
 
 
 def pieces(protected: DataFrame, key: str = "doc_id") -> DataFrame:

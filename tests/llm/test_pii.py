@@ -91,6 +91,7 @@ def test_long_lists_are_joined(spark, monkeypatch):
     d = spark.createDataFrame([(i, t, ["klaravosskamp", None, "TobiasSalmerida"][i % 3], i) for i, t in enumerate(texts)], "doc_id long, text string, screen_name string, word int")
     n = spark.createDataFrame([("Tobias", "given"), ("Klara", "given"), ("Salmerida", "family"), ("Vosskamp", "family")], "name string, kind string")
     few = pii.protect(d, pii.learn_names(d, n), KEY)
+    assert pii.protect(d.withColumnRenamed("word", "pieces"), pii.learn_names(d, n), KEY).columns == ["doc_id", "text", "screen_name", "pieces"]
     monkeypatch.setattr(pii, "MAX_WORDS", 0)
     monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
     known = pii.learn_names(d, n)
